@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinloom.llm import quality, url_filter
+from kinloom.llm import bpe, packing, quality, url_filter
 
 
 def queries():
     return {
+        "op2_bpe": bpe.op2,
         "op3_quality_rules": quality.op3,
         "op5_url_filters": url_filter.op5,
+        "op6_packing": packing.op6,
     }
 
 
