@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from kinloom.llm import bpe, packing, quality, url_filter
+from kinloom.llm import bpe, chat, html_text, language, packing, quality, url_filter
 
 
 def queries():
     return {
+        "op1_language_id": language.op1,
         "op2_bpe": bpe.op2,
         "op3_quality_rules": quality.op3,
         "op5_url_filters": url_filter.op5,
         "op6_packing": packing.op6,
+        "op8_html_text": html_text.op8,
+        "op10_chat": chat.op10,
     }
 
 
 def oracle_sql():
-    return {"op3_quality_rules": quality.SQL, "op5_url_filters": url_filter.SQL}
+    return {"op3_quality_rules": quality.SQL, "op5_url_filters": url_filter.SQL, "op10_chat": chat.SQL}
