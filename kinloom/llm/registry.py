@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinloom.llm import bpe, chat, html_text, language, packing, quality, url_filter
+from kinloom.llm import bpe, chat, fingerprint, html_text, language, packing, quality, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_url_filters": url_filter.op5,
         "op6_packing": packing.op6,
         "op8_html_text": html_text.op8,
+        "op9_fingerprint": fingerprint.op9,
         "op10_chat": chat.op10,
     }
 
