@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinloom.llm import bpe, chat, fingerprint, html_text, language, packing, quality, url_filter
+from kinloom.llm import bpe, chat, fingerprint, html_text, jaccard_join, language, packing, quality, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_language_id": language.op1,
         "op2_bpe": bpe.op2,
         "op3_quality_rules": quality.op3,
+        "op4_jaccard_join": jaccard_join.op4,
         "op5_url_filters": url_filter.op5,
         "op6_packing": packing.op6,
         "op8_html_text": html_text.op8,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_quality_rules": quality.SQL, "op5_url_filters": url_filter.SQL, "op10_chat": chat.SQL}
+    return {"op3_quality_rules": quality.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_url_filters": url_filter.SQL, "op10_chat": chat.SQL}
