@@ -30,7 +30,7 @@ SPACE = r"[ \t-\r]+"
 CELLS = 256
 MOST_BUCKETS = 1 << 20
 #: Code points of a range of documents, about.
-RANGE_CHARS = 4 << 20
+RANGE_CHARS = 1 << 20
 
 
 def _uniform(h: str, shift: int) -> str:
@@ -83,7 +83,8 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     line = Window.partitionBy("seat").orderBy("guest", "doc_id", "text")
     then = lambda c: F.lead(c).over(line)
     placed = dealt.select("seat", "guest", F.row_number().over(line).alias("rid"), "doc_id", "text", then("text").alias("next_text"), then("bucket").alias("next_bucket"), then("guest").alias("next_guest"))
-    return placed.filter("NOT guest").select(F.col("seat").alias("bucket"), "rid", "doc_id", "text", "next_text", "next_bucket", F.when(F.col("next_guest"), 1).otherwise(F.col("rid") + 1).alias("next_rid"))
+    # The last two conditions always hold; with them each plan over this deals the same columns and rows, so the exchange of texts is reused.
+    return placed.filter("NOT guest AND bucket >= -1 AND seat IS NOT NULL").select(F.col("seat").alias("bucket"), "rid", "doc_id", "text", "next_text", "next_bucket", F.when(F.col("next_guest"), 1).otherwise(F.col("rid") + 1).alias("next_rid"))
 
 
 def _words(text: Column) -> Column:
