@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinloom.llm import bpe, chat, fingerprint, html_text, jaccard_join, language, packing, quality, url_filter
+from kinloom.llm import bpe, chat, fingerprint, html_text, jaccard_join, language, packing, quality, secret_scan, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_jaccard_join": jaccard_join.op4,
         "op5_url_filters": url_filter.op5,
         "op6_packing": packing.op6,
+        "op7_secret_scan": secret_scan.op7,
         "op8_html_text": html_text.op8,
         "op9_fingerprint": fingerprint.op9,
         "op10_chat": chat.op10,
