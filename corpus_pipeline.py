@@ -1,8 +1,74 @@
-"""A stub until its stages exist."""
+"""A corpus from raw documents to packed sequences: STAGES in order, each one operator of ``kinloom.llm``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinloom.llm import bpe, jaccard_join, language, packing, quality, secret_scan
+
+#: A document whose best language machine stays below this says of no language that it is its own.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those that no language's machine claims, go.
+
+    Without any labelled document nothing can be told, and only documents without a letter go.
+    """
+    model = language.train(docs)
+    found = language.identify(docs, model)
+    if not model.languages:
+        kept = found.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    else:
+        kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the current policy go."""
+    return quality.with_policy(quality.ledger(docs), name="__kept").filter("__kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies its smallest doc_id stays; rows without doc_id stay."""
+    groups = jaccard_join.join(docs)
+    gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found secrets are replaced by a mark in the text, and n_chars follows it; every document stays."""
+    cleaned = secret_scan.clean(secret_scan.scan(docs, secret_scan.train(spark), out="__findings"), findings="__findings")
+    changed = F.size("__findings") > 0
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
+
+#: SQL can express neither the first stage nor the last; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
