@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from kinloom.plans import registry, text_queries  # noqa: F401  registers
+
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
