@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinloom.plans import linkage_queries, registry, text_queries  # noqa: F401  registers
+from kinloom.plans import linkage_queries, registry, service_queries, text_queries  # noqa: F401  registers
 
 
 def queries():

@@ -403,8 +403,8 @@ _STRAT = f"{pairs_sql(most=10**9)}, {D.truth()}, {_TRUTHFUL}, st AS (SELECT DIST
 _UNION = "u AS (SELECT * FROM st UNION SELECT 'old union', s1, target FROM st WHERE strategy IN ('B1', 'B2', 'B3', 'B4') UNION SELECT 'union', s1, target FROM st)"
 _BM = """n AS (SELECT strategy, e.s1, count(u.target) AS n FROM (SELECT DISTINCT strategy FROM u) q CROSS JOIN e LEFT JOIN u USING (strategy, s1) GROUP BY ALL),
 z AS (SELECT strategy, sum(n)::BIGINT AS candidates, avg(n) AS mean, quantile_cont(n, 0.5) AS median, max(n) AS most, count(*) FILTER (n = 0) AS without FROM n GROUP BY ALL),
-f2 AS (SELECT strategy, count(*) AS found, count(DISTINCT s1) AS entities FROM u JOIN truth USING (s1, target) GROUP BY ALL)
-SELECT strategy, candidates, round(mean, 6) AS mean, median::DOUBLE AS median, most, without, round(coalesce(found, 0) / (SELECT count(*) FROM truth), 6) AS pair_recall, round(coalesce(entities, 0) / (SELECT count(DISTINCT s1) FROM truth), 6) AS entity_recall FROM z LEFT JOIN f2 USING (strategy)"""
+fnd AS (SELECT strategy, count(*) AS found, count(DISTINCT s1) AS entities FROM u JOIN truth USING (s1, target) GROUP BY ALL)
+SELECT strategy, candidates, round(mean, 6) AS mean, median::DOUBLE AS median, most, without, round(coalesce(found, 0) / (SELECT count(*) FROM truth), 6) AS pair_recall, round(coalesce(entities, 0) / (SELECT count(DISTINCT s1) FROM truth), 6) AS entity_recall FROM z LEFT JOIN fnd USING (strategy)"""
 
 
 def _bm(spark, sf_dir, pairs):
