@@ -62,8 +62,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(at, F.when(repeated, F.expr(f"array_sort(array_distinct(flatten(transform({pairs}, p -> array(p['0']['1'], p['1']['1'])))))")))
     # Windows at places p < q cover min(5, q - p) words from p on; the last covers five.
     covered = F.expr(f"5L + aggregate(arrays_zip(slice({at}, 1, size({at}) - 1), slice({at}, 2, size({at}) - 1)), 0L, (n, p) -> n + least(5, p['1'] - p['0']))")
-    return df.select(
-        *rest,
+    found = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -71,6 +70,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.col(at).isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # A generator of one row: a filter on a measurement isn't pushed below it, where each use would measure anew.
+    return df.select(*rest, F.inline(F.array(found)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
