@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import bpe, jaccard_join, language, packing, quality, secret_scan
+from kinloom.shipping import shipped
 
 #: A document whose best language machine stays below this says of no language that it is its own.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +57,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language ID", language_id),
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("secret scans", secrets),
-    ("packing", pack),
+    ("language ID", shipped(language_id)),
+    ("quality rules", shipped(quality_rules)),
+    ("n-gram Jaccard join", shipped(near_duplicates)),
+    ("secret scans", shipped(secrets)),
+    ("packing", shipped(pack)),
 ]
 
 #: SQL can express neither the first stage nor the last; the stages are tested against brute force.
