@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("symbols", "n_symbols > n_words"),
     ("word_length", "word_chars > 20 * n_words"),
 )
@@ -130,8 +130,8 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_dup_lines > 30 * n_lines OR n_symbols > n_words OR word_chars > 20 * n_words) AS kept,
-       (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 4 ELSE 0 END
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR n_symbols > n_words OR word_chars > 20 * n_words) AS kept,
+       (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 4 ELSE 0 END
         + CASE WHEN n_symbols > n_words THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END)::INTEGER AS fail_bits
 FROM m
 """
