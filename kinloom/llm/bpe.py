@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm.store import small_batches
+
 # The pre-token pattern of the byte-level vocabulary, as its file's pre-tokenizer names it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -165,6 +167,7 @@ def codec(data: bytes, threads: int = 1) -> Codec:
 
 def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids", threads: int = 1) -> DataFrame:
     """``df`` with the ids of ``text`` as an array; a pass over the rows, no shuffle."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf("array<int>")
@@ -178,6 +181,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text", out: str = "ids"
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of an array of ids."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     @F.pandas_udf("string")
@@ -191,6 +195,7 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
 
 def digests(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded and decoded in the worker, where only digests leave it."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.store import keep
+from kinloom.llm.store import keep, small_batches
 from kinloom.llm.url_filter import with_host_and_path
 
 BROADCAST_BYTES = 8 << 20
@@ -205,6 +205,7 @@ def consensus(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
+    small_batches(pages.sparkSession)
     winners = keep(consensus(pages), "host-paths")
     size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("winner") + 16)).first()[0] or 0
     own = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.components import components
 from kinloom.llm.shingles import mix, overlap, tokens
-from kinloom.llm.store import keep
+from kinloom.llm.store import keep, small_batches
 
 WORDS = 3
 PERCENT = 90
@@ -179,6 +179,7 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     found = keep(sets(docs, size, percent), "sets")
     key = ["n_shingles", "d0", "d1"]
     reps = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm.store import small_batches
+
 UNDETERMINED = "und"
 PER_LANGUAGE = 400
 LANDMARKS = 256
@@ -135,6 +137,7 @@ def fit(spectra: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows that aren't held out."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -163,6 +166,7 @@ def spark_map(values: dict[str, int]) -> Column:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` from the whole text; a pass over the rows, no shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

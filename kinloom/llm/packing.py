@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from kinloom.llm.bpe import codec, default_vocabulary, read_vocabulary
+from kinloom.llm.store import small_batches
 
 CAPACITY = 1024
 END_ID = 0
@@ -103,6 +104,7 @@ COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, buffer: int = BUFFER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

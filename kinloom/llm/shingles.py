@@ -9,7 +9,7 @@ import xxhash
 class _Hashes(dict):
     """Word -> 64-bit hash; emptied when it grows, so that a worker's memory stays bounded."""
 
-    MOST = 1 << 20
+    MOST = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

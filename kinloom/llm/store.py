@@ -28,3 +28,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/kinloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch for operators that hand whole texts to Python workers.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Python workers hold at most ``rows`` texts at a time; Spark's own default is 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
