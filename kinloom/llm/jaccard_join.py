@@ -1,12 +1,15 @@
 r"""All links of documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more, and their components.
 
 Documents of equal sets form a class; one document of each stands for it. Two sets of that similarity
-differ in at most H tokens, so of H + 1 parts of the tokens (dealt by hash, H by size class) one is equal:
-representatives that share an equal part are candidates, however common single shingles are. No part
-is capped. A part's most central member, the one that shares most parts with others, is its pivot, and
-every member is held against the pivot first. A member that the pivot links needs no more in that part.
-The others are queries of a token-group matrix: the members of such parts are partitioned into groups of
-similar documents (by their most shared part, cut into groups of about ``GROUP``), a group's token union is
+differ in at most H tokens, so of n > H parts of the tokens (dealt by hash, H by size class) at least
+n - H are equal: representatives that share so many parts are candidates, however common single
+shingles are. Parts that are empty in both need not tell them apart: n leaves room for a set's empty
+parts, and only a set with more of them than that shares empty parts too. No part is capped.
+
+A part's most central member, the one that shares most parts with others, is its pivot, and every member
+is held against the pivot first. A member that the pivot links needs no more in that part. The others
+are queries of a token-group matrix: the members of such parts are partitioned into groups of similar
+documents (by their most shared part, cut into groups of about ``GROUP``), a group's token union is
 stored once, a query's overlap with the union bounds its overlap with each member, and only groups that
 reach the needed overlap are opened and their members compared. Thus each link not implied by others
 through a pivot is found, and copies are never expanded into all pairs.
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +33,20 @@ from kinloom.llm.components import components
 from kinloom.llm.shingles import mix, overlap, tokens
 from kinloom.llm.store import keep, small_batches
 
-WORDS = 3
-PERCENT = 90
+#: What near-duplicate stages take.
+WORDS = 5
+PERCENT = 80
+#: What the registered query takes.
+OP4_WORDS = 3
+OP4_PERCENT = 90
 #: Members of a token group, about.
-GROUP = 128
+GROUP = 512
 #: Queries that meet a group in one task.
-QUERIES = 512
+QUERIES = 1024
 #: Ratio of the largest to the smallest set of a size class.
-CLASS = 1.6
+CLASS = 1.5
+#: Ids of eight bytes that may be broadcast, by their counted number; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 21
 
 
 def _classes(most: int = 1 << 40) -> np.ndarray:
@@ -55,27 +65,36 @@ def most_different(large: int, percent: int = PERCENT) -> int:
     return (100 - percent) * (large + 100 * large // percent) // (100 + percent)
 
 
-def parts(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the parts of a set, for its size class and, if it may be the larger of a pair, the class below."""
+def parts(own: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """Keys of the parts of a set, and how many of them each set linked with it shares at least.
+
+    Parts are those of its size class and, if it may be the larger of a pair, of classes below.
+    """
     n = len(own)
     if not n:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), 1
     top = int(np.searchsorted(LOW, n, "right")) - 1
-    out = []
+    out, need = [], []
     with np.errstate(over="ignore"):
         mixed = mix(own + np.uint64(77))
         for c in range(top, -1, -1):
             large = int(LOW[c + 1]) - 1
             if c < top and percent * n > 100 * large:
                 break
-            h = most_different(large, percent) + 1
-            place = (own % np.uint64(h)).astype(np.int64)
+            h = most_different(large, percent)
+            spare = 4 + (h + 5) // 7
+            total = h + 1 + spare
+            place = (own % np.uint64(total)).astype(np.int64)
             order = np.argsort(place, kind="stable")
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
-            ends = np.searchsorted(place[order], np.arange(h + 1))
-            sums = total[ends[1:]] - total[ends[:-1]]
-            out.append(mix(sums + mix(np.arange(h, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c))))
-    return np.concatenate(out).view(np.int64)
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
+            ends = np.searchsorted(place[order], np.arange(total + 1))
+            keys = mix(run[ends[1:]] - run[ends[:-1]] + mix(np.arange(total, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c)))
+            full = ends[1:] > ends[:-1]
+            empty = total - int(full.sum())
+            # At least spare + 1 parts are equal; those that are empty in both are empty in this one.
+            out.append(keys[full] if empty <= spare else keys)
+            need.append(max(1, spare + 1 - empty))
+    return np.concatenate(out).view(np.int64), min(need)
 
 
 def digest(own: np.ndarray) -> tuple[int, int]:
@@ -91,15 +110,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sets(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, d0, d1, parts``: a pass over the texts."""
+    """``doc_id, n_shingles, d0, d1, need, parts``: a pass over the texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [tokens(t, size) for t in batch["text"]]
             d = [digest(x) for x in own]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(x) for x in own], "d0": [x[0] for x in d], "d1": [x[1] for x in d], "parts": [parts(x, percent) for x in own]})
+            p = [parts(x, percent) for x in own]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(x) for x in own], "d0": [x[0] for x in d], "d1": [x[1] for x in d], "need": [x[1] for x in p], "parts": [x[0] for x in p]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, d0 long, d1 long, need int, parts array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, d0 long, d1 long, parts array<long>")
+def of_ids(ids: DataFrame) -> DataFrame:
+    """``ids`` marked for broadcast if they are counted to be few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _pairs(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -127,13 +152,13 @@ def _grouped(texts: DataFrame, queries: DataFrame, members: DataFrame, size: int
     few = members.join(load, "g").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1))).join(texts, "doc_id")
     few = few.select(*[F.col(c).alias(f"{c}_in") for c in ("g", "s", "doc_id", "text")])
 
-    def run(asked: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def run(asked: pa.Table, group: pa.Table) -> pa.Table:
+        a, b = [], []
         if len(asked) and len(group):
-            inside = [tokens(t, size) for t in group["text_in"]]
-            ids, sizes = group["doc_id_in"].tolist(), np.array([len(x) for x in inside])
+            inside = [tokens(t, size) for t in group["text_in"].to_pylist()]
+            ids, sizes = group["doc_id_in"].to_pylist(), np.array([len(x) for x in inside])
             union = np.unique(np.concatenate(inside))
-            for doc, text in zip(asked["doc_id"], asked["text"], strict=True):
+            for doc, text in zip(asked["doc_id"].to_pylist(), asked["text"].to_pylist(), strict=True):
                 own = tokens(text, size)
                 n = len(own)
                 fits = (100 * n >= percent * sizes) & (percent * n <= 100 * sizes)
@@ -143,38 +168,41 @@ def _grouped(texts: DataFrame, queries: DataFrame, members: DataFrame, size: int
                 bound = (100 + percent) * overlap(own, union)
                 for k in np.flatnonzero(fits & (bound >= percent * (n + sizes))):
                     if ids[k] != doc and linked(own, inside[k], percent):
-                        out.append((doc, ids[k]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                        a.append(doc)
+                        b.append(ids[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return many.groupBy("g", "s").cogroup(few.groupBy("g_in", "s_in")).applyInPandas(run, "a long, b long")
+    return many.groupBy("g", "s").cogroup(few.groupBy("g_in", "s_in")).applyInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """Links (a, b) that connect the components of class representatives; ``found`` is ``sets``, kept."""
     reps = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("doc_id"))
-    held = found.join(reps, ["n_shingles", "d0", "d1", "doc_id"], "left_semi").select("doc_id", F.explode("parts").alias("part"))
+    held = found.join(reps, ["n_shingles", "d0", "d1", "doc_id"], "left_semi").select("doc_id", "need", F.explode("parts").alias("part"))
     shared = held.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    have = keep(held.join(shared, "part").select("part", "doc_id", "n").distinct(), "shared-parts")
+    have = keep(held.join(shared, "part").groupBy("part", "doc_id", "n").agg(F.min("need").alias("need")), "shared-parts")
 
-    near = have.groupBy("doc_id").agg(F.sum("n").alias("central"))
+    near = keep(have.groupBy("doc_id").agg(F.sum("n").alias("central")), "central")
     rank = F.struct("central", (-F.col("doc_id")).alias("first"))
     pivots = have.join(near, "doc_id").groupBy("part").agg((-F.max(rank)["first"]).alias("pivot"))
-    star = keep(have.join(pivots, "part").filter("doc_id <> pivot"), "stars")
-    texts = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near.select("doc_id"), "doc_id", "left_semi").distinct(), "texts")
+    star = keep(have.join(pivots, "part").filter("doc_id <> pivot").select("part", "doc_id", "n", "pivot"), "stars")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of_ids(near.select("doc_id")), "doc_id", "left_semi")
+    texts = keep(texts.distinct(), "texts")
     pairs = star.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = keep(_pairs(texts, pairs, size, percent), "links")
 
     # Where the pivot doesn't link a member, and the part has a third one, that member is a query.
     done = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
-    asked = star.filter("n > 2").join(done, ["doc_id", "pivot"], "left_anti").select("part", "doc_id")
-    open_parts = asked.select("part").distinct()
-    inside = have.filter("n > 2").join(open_parts, "part", "left_semi")
+    asked = keep(star.filter("n > 2").join(done, ["doc_id", "pivot"], "left_anti").select("part", "doc_id"), "asked")
+    inside = have.filter("n > 2").join(asked.select("part").distinct(), "part", "left_semi")
     home = inside.groupBy("doc_id").agg(F.max(F.struct("n", "part"))["part"].alias("home"))
     full = home.groupBy("home").agg(F.ceil(F.count("*") / group).alias("cuts"))
     placed = keep(home.join(full, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cuts")).alias("g")), "groups")
-    where = inside.join(placed, "doc_id").select("part", "g").distinct()
-    queries = asked.join(where, "part").select("doc_id", "g").distinct()
-    return first.union(_grouped(texts, queries, placed, size, percent))
+    # A query meets the groups with which it shares an asked part and, over all its parts, as many as a link needs.
+    where = have.join(placed, "doc_id").select("part", "g").distinct()
+    mine = have.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").join(asked.withColumn("open", F.lit(1)), ["part", "doc_id"], "left")
+    queries = mine.join(where, "part").groupBy("doc_id", "g", "need").agg(F.count("*").alias("parts"), F.max("open").alias("open")).filter("parts >= need AND open = 1").select("doc_id", "g")
+    return first.union(_grouped(texts, keep(queries, "queries"), placed, size, percent))
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
@@ -196,7 +224,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int
 def op4(spark, sf_dir: str) -> DataFrame:
     from kinloom.llm.tables import table
 
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents"), OP4_WORDS, OP4_PERCENT)
 
 
 SQL = r"""

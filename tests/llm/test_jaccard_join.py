@@ -53,13 +53,13 @@ def _brute(texts, size=J.WORDS, percent=J.PERCENT):
     return {i: (len(own[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("seed", "group", "percent"), [(1, 128, 90), (2, 4, 90), (3, 8, 80)])
-def test_against_all_pairs(spark, seed, group, percent):
+@pytest.mark.parametrize(("seed", "group", "words", "percent"), [(1, 128, 3, 90), (2, 4, 3, 90), (3, 8, 5, 80), (4, 128, 5, 80)])
+def test_against_all_pairs(spark, seed, group, words, percent):
     texts = _texts(seed)
     docs = spark.createDataFrame([(i, t, "p", 5) for i, t in enumerate(texts)], "doc_id long, text string, part string, n int")
-    got = J.join(docs.repartition(3), percent=percent, group=group).collect()
+    got = J.join(docs.repartition(3), words, percent, group).collect()
     assert len(got) == len(texts)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _brute(texts, percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _brute(texts, words, percent)
 
 
 def test_repeated_rows_and_ids(spark):
@@ -77,15 +77,17 @@ def test_parts_never_miss_a_link():
     import numpy as np
 
     r = np.random.default_rng(3)
-    for _ in range(400):
+    for i in range(800):
+        percent = (80, 90)[i % 2]
         n = int(r.integers(1, 900))
-        extra = int(r.integers(0, J.most_different(n) + 1))
+        extra = int(r.integers(0, J.most_different(n, percent) + 1))
         pool = r.integers(0, 2**63, n + extra, dtype=np.uint64)
         a = np.unique(pool[:n])
         gone = int(r.integers(0, extra + 1)) if n > extra else 0
         b = np.unique(np.concatenate([a[gone:], pool[n : n + extra - gone]]))
-        if J.linked(a, b):
-            assert np.intersect1d(J.parts(a), J.parts(b)).size
+        if J.linked(a, b, percent):
+            (x, need), (y, more) = J.parts(a, percent), J.parts(b, percent)
+            assert np.intersect1d(x, y).size >= max(need, more)
 
 
 def test_components_of_a_path(spark):
