@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import bpe, jaccard_join, language, packing, quality, secret_scan
+from kinloom.llm.store import keep
 from kinloom.shipping import shipped
 
 #: A document whose best language machine stays below this says of no language that it is its own.
@@ -36,10 +37,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies its smallest doc_id stays; rows without doc_id stay."""
+    """Of each component of near copies (five words, 0.8) its smallest doc_id stays; rows without doc_id stay."""
     groups = jaccard_join.join(docs)
-    gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = keep(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    return docs.join(jaccard_join.of_ids(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
