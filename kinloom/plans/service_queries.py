@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
-from kinloom.functions import tokens as T
-from kinloom.operators import decide, evaluate, explain, geo, model, review, search, validate
+from kinloom.functions import vocab
+from kinloom.operators import decide, evaluate, explain, geo, model, profiles, review, search, validate
 from kinloom.operators import features as Fe
+from kinloom.operators.components import components
 from kinloom.plans import duck as D
-from kinloom.plans.linkage_queries import _MATCHED, SCORED, featured, matches, scored
+from kinloom.plans import text_queries
+from kinloom.plans.linkage_queries import _MATCHED, _P2, SCORED, featured, matches, scored
 from kinloom.plans.registry import query
 from kinloom.plans.views import records, table, truth_pairs
 from kinloom.sources import readers
@@ -178,7 +180,7 @@ def batch_summary(spark, sf_dir):
     return search.batch_summary(_resolved(spark, sf_dir))
 
 
-_CAT = __import__("kinloom.plans.text_queries", fromlist=["_CASES"])._CASES
+_CAT = text_queries.CASES
 
 
 @query("platform_stats", f"WITH {D.rec()} SELECT country, count(*) AS entities, count(*) FILTER (source = 'S1') AS reference FROM rec GROUP BY country")
@@ -256,7 +258,7 @@ def passport(spark, sf_dir):
     return explain.passports(s, ev, explain.conflicts(ev))
 
 
-_LAND = "trim(regexp_extract(address, {}, 1, 'i'))".format(D.q(__import__("kinloom.functions.vocab", fromlist=["x"]).LANDMARK))
+_LAND = f"trim(regexp_extract(address, {D.q(vocab.LANDMARK)}, 1, 'i'))"
 
 
 @query(
@@ -357,14 +359,16 @@ def _points(spark, sf_dir):
     "haversine",
     f"""{_GEO}, h AS (SELECT entity_id, pow(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin((radians(lng2) - radians(lng)) / 2), 2) AS a,
     degrees(atan2(sin(radians(lng2) - radians(lng)) * cos(radians(lat2)), cos(radians(lat)) * sin(radians(lat2)) - sin(radians(lat)) * cos(radians(lat2)) * cos(radians(lng2) - radians(lng)))) + 360 AS d FROM nx WHERE lat2 IS NOT NULL)
-    SELECT entity_id, round(2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)), 6)::DOUBLE AS km, round(d - 360 * floor(d / 360), 6)::DOUBLE AS bearing FROM h""",
+    SELECT entity_id, round(2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)), 6)::DOUBLE AS km, round(d - 360 * floor(d / 360), 6)::DOUBLE AS bearing,
+    ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][(floor((d + 22.5) / 45)::INT % 8) + 1] AS compass FROM h""",
 )
 def haversine(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("country").orderBy("ord")
     legs = _points(spark, sf_dir).select("*", F.lead("lat").over(w).alias("lat2"), F.lead("lng").over(w).alias("lng2")).filter("lat2 IS NOT NULL")
-    return legs.select("entity_id", F.round(geo.haversine("lat", "lng", "lat2", "lng2"), 6).alias("km"), F.round(geo.bearing("lat", "lng", "lat2", "lng2"), 6).alias("bearing"))
+    turn = geo.bearing("lat", "lng", "lat2", "lng2")
+    return legs.select("entity_id", F.round(geo.haversine("lat", "lng", "lat2", "lng2"), 6).alias("km"), F.round(turn, 6).alias("bearing"), geo.compass(turn).alias("compass"))
 
 
 @query("polyline", f"{_GEO} SELECT country, ord, step, round(lat + (lat2 - lat) * step / 12.0, 6)::DOUBLE AS lat, round(lng + (lng2 - lng) * step / 12.0, 6)::DOUBLE AS lng FROM nx, (SELECT unnest(range(0, 12)) AS step) WHERE lat2 IS NOT NULL")
@@ -398,3 +402,43 @@ def stream_latest_decision(spark, sf_dir):
 @query("stream_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6)::DOUBLE AS value FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
     return reviews.drain(reviews.windowed_counts(reviews.read_events(spark, sf_dir)), "complete")
+
+
+# ---------------------------------------------------------------- profiles, components, ablations
+
+_P1 = rf"""
+q0 AS (SELECT entity_id, {D.norm(D.domain('business_name'))} AS name, {D.norm(f"regexp_replace(business_address, {D.q(vocab.ADDRESS_PREFIX)}, ' ', 'gi')")} AS address, {D.compounds('business_address')} AS comps FROM rec),
+q1 AS (SELECT *, {D.words('name')} AS nw, {D.words('address')} AS aw FROM q0)"""
+
+
+@query(
+    "profile_v1",
+    f"WITH {D.rec()}, {_P1} SELECT entity_id, name, address, array_to_string(nw, '') AS alnum, list_sort({D.trigrams('name')}) AS name_grams, list_sort(list_distinct(list_concat(comps, {D.numbers('aw')}))) AS numbers, list_sort(list_distinct({D.localities('aw', 'v1')})) AS localities FROM q1",
+)
+def profile_v1(spark, sf_dir):
+    p = profiles.profile_v1(records(spark, sf_dir))
+    return p.select("entity_id", "name", "address", "alnum", *[F.array_sort(c).alias(c) for c in ("name_grams", "numbers", "localities")])
+
+
+@query("profile_v2", f"WITH {D.rec()}, {_P2} SELECT entity_id, country, script, name, address, compact, ocr, sig, first, last, acompact AS address_compact, nsig AS number_sig, building, postal, words AS name_words, loc AS localities FROM p")
+def profile_v2(spark, sf_dir):
+    return profiles.profile_v2(records(spark, sf_dir)).select("entity_id", "country", "script", "name", "address", "compact", "ocr", "sig", "first", "last", "address_compact", "number_sig", "building", "postal", "name_words", "localities")
+
+
+@query(
+    "connected_components",
+    f"""WITH RECURSIVE {_MATCHED}, ed AS (SELECT s1 AS a, target AS b FROM m UNION SELECT target, s1 FROM m), reach(id, other) AS (SELECT a, a FROM ed UNION SELECT r.id, ed.b FROM reach r JOIN ed ON ed.a = r.other)
+    SELECT id, min(other) AS component FROM reach GROUP BY id""",
+)
+def connected_components(spark, sf_dir):
+    """Records joined by matches, directly or through others."""
+    return components(matches(spark, sf_dir).select("s1", "target"))
+
+
+@query("model_ablation")
+def model_ablation(spark, sf_dir):
+    """Two feature sets, trained and swept; rows only, as the trees are Spark's own."""
+    r = records(spark, sf_dir)
+    data = featured(spark, sf_dir).select("s1", "target", "label", *_FEW)
+    sets = {"names": [c for c in _FEW if c.startswith("name")], "all": _FEW}
+    return model.ablation(data, sets, r.filter("source = 'S1'").select(F.col("entity_id").alias("s1")), truth_pairs(r), [0.3, 0.5, 0.7], trees=3, depth=3)

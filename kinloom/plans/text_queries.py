@@ -99,10 +99,10 @@ def _():
     return X.country("country").alias("canon"), X.country(ADDRESS).alias("missing")
 
 
-_CASES = " ".join(f"WHEN regexp_matches(concat({NAME}, ' ', {ADDRESS}), '(?i)\\b({'|'.join(w.split())})\\b') THEN '{label}'" for label, w in vocab.CATEGORIES)
+CASES = " ".join(f"WHEN regexp_matches(concat({NAME}, ' ', {ADDRESS}), '(?i)\\b({'|'.join(w.split())})\\b') THEN '{label}'" for label, w in vocab.CATEGORIES)
 
 
-@_over("infer_category", f"CASE {_CASES} ELSE '{vocab.DEFAULT_CATEGORY}' END AS category")
+@_over("infer_category", f"CASE {CASES} ELSE '{vocab.DEFAULT_CATEGORY}' END AS category")
 def _():
     return (X.category(NAME, ADDRESS).alias("category"),)
 
