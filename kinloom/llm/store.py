@@ -1,34 +1,12 @@
-"""Cutting lineage with tables in the folder that the cluster shares."""
+"""Cutting lineage with written tables, and what Python workers hold at a time."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN.setdefault(app, tempfile.mkdtemp(prefix="kinloom-"))
-    return found.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Any executor can read the files, so a lost one costs at most the tasks that it was running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kinloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from kinloom.store import keep, shared_folder
 
+__all__ = ["BATCH_ROWS", "keep", "shared_folder", "small_batches"]
 
 #: Rows of an Arrow batch for operators that hand whole texts to Python workers.
 BATCH_ROWS = 256
