@@ -177,10 +177,16 @@ def _grouped(texts: DataFrame, queries: DataFrame, members: DataFrame, size: int
 
 def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """Links (a, b) that connect the components of class representatives; ``found`` is ``sets``, kept."""
-    reps = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("doc_id"))
-    held = found.join(reps, ["n_shingles", "d0", "d1", "doc_id"], "left_semi").select("doc_id", "need", F.explode("parts").alias("part"))
-    shared = held.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    have = keep(held.join(shared, "part").groupBy("part", "doc_id", "n").agg(F.min("need").alias("need")), "shared-parts")
+    key = ["n_shingles", "d0", "d1"]
+    real = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    copies = keep(real.select("doc_id", *key).join(reps, key).filter("doc_id <> rep").select("doc_id", "d0", "d1").distinct(), "copies")
+    held = real.join(of_ids(copies), ["doc_id", "d0", "d1"], "left_anti").select(F.explode("parts").alias("part"), "doc_id")
+    # Dealt once by part: the count and the join with it use the same exchange.
+    dealt = held.repartition("part")
+    shared = dealt.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    have = keep(dealt.join(shared, "part").select("part", "doc_id", "n").distinct(), "shared-parts")
+    needs = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("need").alias("need"))
 
     near = keep(have.groupBy("doc_id").agg(F.sum("n").alias("central")), "central")
     rank = F.struct("central", (-F.col("doc_id")).alias("first"))
@@ -201,7 +207,8 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
     # A query meets the groups with which it shares an asked part and, over all its parts, as many as a link needs.
     where = have.join(placed, "doc_id").select("part", "g").distinct()
     mine = have.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").join(asked.withColumn("open", F.lit(1)), ["part", "doc_id"], "left")
-    queries = mine.join(where, "part").groupBy("doc_id", "g", "need").agg(F.count("*").alias("parts"), F.max("open").alias("open")).filter("parts >= need AND open = 1").select("doc_id", "g")
+    queries = mine.join(where, "part").groupBy("doc_id", "g").agg(F.count("*").alias("parts"), F.max("open").alias("open")).filter("open = 1")
+    queries = queries.join(needs, "doc_id").filter("parts >= need").select("doc_id", "g")
     return first.union(_grouped(texts, keep(queries, "queries"), placed, size, percent))
 
 
