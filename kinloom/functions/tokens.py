@@ -34,14 +34,23 @@ def meaningful(x, version: str = "serve") -> Column:
 
 def structural(x, version: str = "v1") -> Column:
     """Leading prefixes and trailing suffixes taken off; if no word of two letters is left, the trimmed words."""
-    w = words(x)
-    at = F.sequence(F.lit(1), F.size(w))
-    inner = lambda listed: F.filter(at, lambda i: ~among(F.element_at(w, i), listed))
-    first = F.array_min(inner([*vocab.PREFIXES[version], *vocab.STOPWORDS[version]]))
-    last = F.array_max(inner([*vocab.SUFFIXES[version], *vocab.STOPWORDS[version]]))
-    trimmed = F.when(F.size(w) == 0, w).when(first.isNull() | last.isNull() | (last < first), F.slice(w, 1, 0)).otherwise(F.slice(w, first, last - first + 1))
-    kept = F.filter(trimmed, lambda t: ~among(t, [*vocab.STOPWORDS[version], *vocab.SUFFIXES[version], *vocab.PREFIXES[version]]) & (F.length(t) >= 2))
-    return F.when(F.size(kept) == 0, trimmed).otherwise(kept)
+    front, back = [*vocab.PREFIXES[version], *vocab.STOPWORDS[version]], [*vocab.SUFFIXES[version], *vocab.STOPWORDS[version]]
+    # A fold over the words: out has what stands between the first word that isn't in front and the last that isn't in back.
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("tail"), F.lit(False).alias("on"))
+
+    def step(acc, t):
+        on = acc["on"] | ~among(t, front)
+        ends = among(t, back)
+        tail = F.when(on, F.concat(acc["tail"], F.array(t))).otherwise(acc["tail"])
+        return F.struct(F.when(on & ~ends, F.concat(acc["out"], tail)).otherwise(acc["out"]).alias("out"), F.when(on & ~ends, F.slice(tail, 1, 0)).otherwise(tail).alias("tail"), on.alias("on"))
+
+    listed = [*front, *vocab.SUFFIXES[version]]
+
+    def choose(acc):
+        kept = F.filter(acc["out"], lambda t: ~among(t, listed) & (F.length(t) >= 2))
+        return F.when(F.size(kept) == 0, acc["out"]).otherwise(kept)
+
+    return F.aggregate(words(x), start, step, choose)
 
 
 def numbers(tokens) -> Column:

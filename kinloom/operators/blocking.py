@@ -91,8 +91,8 @@ def keys(records: DataFrame, generator: str = "serve", blocks: list[str] | None
     """entity_id, source, ord, block, key: distinct keys of each record."""
     found = GENERATORS[generator]()
     listed = [F.when(v.isNotNull(), F.struct(F.lit(b).alias("block"), F.concat_ws("|", "country_key", F.lit(b), v).alias("key"))) for b, values in found.items() if blocks is None or b in blocks for v in values]
-    each = key_fields(records).withColumn("found", F.array_distinct(F.array_compact(F.array(*listed))))
-    return each.select("entity_id", "source", "ord", F.inline("found"))
+    # The array isn't a column of its own: a filter on its size would be pushed below the fields and evaluate them anew.
+    return key_fields(records).select("entity_id", "source", "ord", F.inline(F.array_distinct(F.array_compact(F.array(*listed)))))
 
 
 def prune(keyed: DataFrame, most: int, blocks: list[str] | None = None) -> DataFrame:

@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 FLAT, HIGH, LOW, MIDDLE = 0.4365, 0.75, 0.58, 0.65
 
 
+def settled(scored: DataFrame, *columns: str) -> DataFrame:
+    """``scored`` with ``columns`` as the output of a one-row generator.
+
+    A filter on them stays above it; pushed below, it would evaluate each similarity once more for every use.
+    """
+    rest = [F.col(c) for c in scored.columns if c not in columns]
+    return scored.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def flat(scored: DataFrame, threshold: float = FLAT) -> DataFrame:
-    return scored.filter(F.col("score") >= threshold)
+    return settled(scored, "score").filter(F.col("score") >= threshold)
 
 
 def margin(scored: DataFrame) -> DataFrame:
@@ -23,20 +32,20 @@ def margin(scored: DataFrame) -> DataFrame:
 def agreement_tested(scored: DataFrame) -> DataFrame:
     """High scores, and middling ones with an exact name, two strong similarities or an equal house number."""
     agree = (F.col("name_exact_match") == 1) | (F.col("both_strong") == 1) | (F.col("addr_house_number_match") == 1)
-    return scored.filter((F.col("score") >= HIGH) | ((F.col("score") >= LOW) & agree))
+    return settled(scored, "score", "name_exact_match", "both_strong", "addr_house_number_match").filter((F.col("score") >= HIGH) | ((F.col("score") >= LOW) & agree))
 
 
 def agreement_shipped(scored: DataFrame) -> DataFrame:
     """As ``agreement_tested``, but two given addresses suffice from 0.65 on, in place of strong similarities."""
     given = (F.col("s1_addr_missing") == 0) & (F.col("cand_addr_missing") == 0)
     agree = (F.col("name_exact_match") == 1) | ((F.col("score") >= MIDDLE) & given) | (F.col("addr_house_number_match") == 1)
-    return scored.filter((F.col("score") >= HIGH) | ((F.col("score") >= LOW) & agree))
+    return settled(scored, "score", "name_exact_match", "s1_addr_missing", "cand_addr_missing", "addr_house_number_match").filter((F.col("score") >= HIGH) | ((F.col("score") >= LOW) & agree))
 
 
 def agreement_documented(scored: DataFrame) -> DataFrame:
     """The same with 0.65 alone as agreement."""
     agree = (F.col("name_exact_match") == 1) | (F.col("score") >= MIDDLE) | (F.col("addr_house_number_match") == 1)
-    return scored.filter((F.col("score") >= HIGH) | ((F.col("score") >= LOW) & agree))
+    return settled(scored, "score", "name_exact_match", "addr_house_number_match").filter((F.col("score") >= HIGH) | ((F.col("score") >= LOW) & agree))
 
 
 RULES = {"flat": flat, "margin": margin, "tested": agreement_tested, "shipped": agreement_shipped, "documented": agreement_documented}
