@@ -182,9 +182,9 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
     reps = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     copies = keep(real.select("doc_id", *key).join(reps, key).filter("doc_id <> rep").select("doc_id", "d0", "d1").distinct(), "copies")
     held = real.join(of_ids(copies), ["doc_id", "d0", "d1"], "left_anti").select(F.explode("parts").alias("part"), "doc_id")
-    # Dealt once by part: the count and the join with it use the same exchange.
+    # Dealt once by part: the count and the join with it need the same columns, and so use the same exchange.
     dealt = held.repartition("part")
-    shared = dealt.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("part", "n")
     have = keep(dealt.join(shared, "part").select("part", "doc_id", "n").distinct(), "shared-parts")
     needs = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("need").alias("need"))
 
