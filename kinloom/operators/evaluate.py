@@ -131,20 +131,21 @@ def curve(scored: DataFrame) -> DataFrame:
 
 
 def best_f1(scored: DataFrame) -> DataFrame:
-    """One row: the threshold of largest F1, and precision, recall and F1 there; ties go to the higher threshold."""
+    """One row: the threshold of largest F1, and precision, recall and F1 there; ties go to the higher threshold. Without a positive, no row."""
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("positives")
     points = curve(scored).filter("tp > 0").select("score", p.alias("precision"), r.alias("recall"), (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))).alias("f1"))
     best = F.max(F.struct("f1", "score", "precision", "recall"))
-    return points.agg(best.alias("b")).select(F.col("b.score").alias("threshold"), F.col("b.precision").alias("precision"), F.col("b.recall").alias("recall"), F.col("b.f1").alias("f1"))
+    return points.agg(best.alias("b")).filter("b IS NOT NULL").select(F.col("b.score").alias("threshold"), F.col("b.precision").alias("precision"), F.col("b.recall").alias("recall"), F.col("b.f1").alias("f1"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """One row: average precision, and ROC area by the trapezium rule."""
+    """One row: average precision, and ROC area by the trapezium rule; 0 where a class is missing."""
     w = Window.orderBy(F.desc("score"))
     c = curve(scored).withColumns({"tp0": F.coalesce(F.lag("tp").over(w), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(w), F.lit(0))})
-    ap = F.sum((F.col("tp") - F.col("tp0")) / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0) / (F.max("positives") * F.max("fp"))
-    return c.agg(ap.alias("average_precision"), area.alias("roc_auc"))
+    ap = F.sum(F.when(F.col("positives") > 0, (F.col("tp") - F.col("tp0")) / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    size = F.max("positives") * F.max("fp")
+    area = F.when(size > 0, F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0) / size)
+    return c.agg(F.coalesce(ap, F.lit(0.0)).alias("average_precision"), F.coalesce(area, F.lit(0.0)).alias("roc_auc"))
 
 
 def at_thresholds(scored: DataFrame, thresholds: list[float]) -> DataFrame:

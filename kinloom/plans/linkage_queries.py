@@ -511,7 +511,7 @@ def pr_best_f1(spark, sf_dir):
 
 @query(
     "avg_precision",
-    f"WITH {_CURVE}, st AS (SELECT *, coalesce(lag(tp) OVER (ORDER BY score DESC), 0) AS tp0, coalesce(lag(fp) OVER (ORDER BY score DESC), 0) AS fp0 FROM cv) SELECT round(sum((tp - tp0) / positives * tp / (tp + fp)), 6)::DOUBLE AS average_precision, round(sum((fp - fp0) * (tp + tp0) / 2.0) / (max(positives) * max(fp)), 6)::DOUBLE AS roc_auc FROM st",
+    f"WITH {_CURVE}, st AS (SELECT *, coalesce(lag(tp) OVER (ORDER BY score DESC), 0) AS tp0, coalesce(lag(fp) OVER (ORDER BY score DESC), 0) AS fp0 FROM cv) SELECT coalesce(round(sum((tp - tp0) / nullif(positives, 0) * tp / (tp + fp)), 6), 0)::DOUBLE AS average_precision, coalesce(round(sum((fp - fp0) * (tp + tp0) / 2.0) / nullif(max(positives) * max(fp), 0), 6), 0)::DOUBLE AS roc_auc FROM st",
 )
 def avg_precision(spark, sf_dir):
     return _rounded(evaluate.average_precision(_curve_rows(spark, sf_dir)), ("average_precision", "roc_auc"))
@@ -519,7 +519,7 @@ def avg_precision(spark, sf_dir):
 
 @query(
     "metrics_at_thresholds",
-    f"WITH {SCORED}, a AS (SELECT t AS threshold, count(*) FILTER (round(score, 6) >= t AND label = 1) AS tp, count(*) FILTER (round(score, 6) >= t AND label = 0) AS fp, sum(label) AS pos FROM s, (SELECT unnest({_GRID})::DOUBLE AS t) GROUP BY ALL) SELECT threshold, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision, round(tp / pos, 6)::DOUBLE AS recall, round(2 * tp / (tp + fp + pos), 6)::DOUBLE AS f1 FROM a",
+    f"WITH {SCORED}, a AS (SELECT t AS threshold, count(*) FILTER (round(score, 6) >= t AND label = 1) AS tp, count(*) FILTER (round(score, 6) >= t AND label = 0) AS fp, sum(label) AS pos FROM s, (SELECT unnest({_GRID})::DOUBLE AS t) GROUP BY ALL) SELECT threshold, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(pos, 0), 0), 6)::DOUBLE AS recall, round(coalesce(2 * tp / nullif(tp + fp + pos, 0), 0), 6)::DOUBLE AS f1 FROM a",
 )
 def metrics_at_thresholds(spark, sf_dir):
     return _rounded(evaluate.at_thresholds(_curve_rows(spark, sf_dir), _GRID), ("precision", "recall", "f1"))
