@@ -194,13 +194,17 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
     star = keep(have.join(pivots, "part").filter("doc_id <> pivot").select("part", "doc_id", "n", "pivot"), "stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of_ids(near.select("doc_id")), "doc_id", "left_semi")
     texts = keep(texts.distinct(), "texts")
-    pairs = star.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    # A member that shares fewer parts with its pivot than a link needs isn't held against it here; it is a query below.
+    votes = star.groupBy("doc_id", "pivot").agg(F.count("*").alias("votes")).join(needs, "doc_id").filter("votes >= need")
+    pairs = keep(votes.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "pairs")
     first = keep(_pairs(texts, pairs, size, percent), "links")
 
-    # Where the pivot doesn't link a member, and the part has a third one, that member is a query.
-    done = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
-    asked = keep(star.filter("n > 2").join(done, ["doc_id", "pivot"], "left_anti").select("part", "doc_id"), "asked")
-    inside = have.filter("n > 2").join(asked.select("part").distinct(), "part", "left_semi")
+    # Where the pivot isn't known to link a member, that member is a query, unless only the two share the part and were compared.
+    both = lambda df: df.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
+    left = star.join(both(first), ["doc_id", "pivot"], "left_anti")
+    left = left.join(both(pairs).withColumn("held", F.lit(1)), ["doc_id", "pivot"], "left").filter("n > 2 OR held IS NULL")
+    asked = keep(left.select("part", "doc_id"), "asked")
+    inside = have.join(asked.select("part").distinct(), "part", "left_semi")
     home = inside.groupBy("doc_id").agg(F.max(F.struct("n", "part"))["part"].alias("home"))
     full = home.groupBy("home").agg(F.ceil(F.count("*") / group).alias("cuts"))
     placed = keep(home.join(full, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cuts")).alias("g")), "groups")
