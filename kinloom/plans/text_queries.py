@@ -139,9 +139,8 @@ def _():
 
 @query("nfkd_fold")
 def nfkd_fold(spark, sf_dir):
-    """Arrow UDF: both foldings of each document's first line."""
-    line = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", X.norm_name(X.fold(line, "nfkd")).alias("v1"), X.norm_name(X.fold(line, "latin")).alias("v2"), F.lower(X.fold(line, "marks")).alias("unmarked"))
+    """Arrow UDF: the foldings of each document's whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.norm_name(X.fold("text", "nfkd")).alias("v1"), X.norm_name(X.fold("text", "latin")).alias("v2"), F.lower(X.fold("text", "marks")).alias("unmarked"))
 
 
 @query("domain_split")

@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from kinloom import catalog
 from kinloom.functions import text as X
 from kinloom.functions import tokens as T
 
@@ -29,6 +30,18 @@ def test_fold_against_unicodedata(spark):
         assert row.v == "".join(c for c in unicodedata.normalize("NFKD", texts[row.i]) if not unicodedata.combining(c))
 
 
+def test_nfkd_fold_takes_whole_texts(spark, tmp_path):
+    texts = ["Société d'Été\nÀ la  carte!\n\nNaïve ½ ﬁn", "plain line\r\nsecond_line, third\n", "हिन्दी\nÑandú", "\nonly the second line: Ünï", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    latin = lambda d: unicodedata.normalize("NFKC", "".join(c for c in d if not "\u0300" <= c <= "\u036f"))
+    plain = lambda s: " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in "_ \t\n\x0b\f\r" else " " for c in s).lower().split())
+    found = {r.doc_id: (r.v1, r.v2, r.unmarked) for r in catalog.queries()["nfkd_fold"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        d = unicodedata.normalize("NFKD", text) if text is not None else None
+        assert found[i] == ((plain(d), plain(latin(d)), "".join(c for c in d if not unicodedata.combining(c)).lower()) if text is not None else (None, None, None))
+
+
 @pytest.mark.parametrize(("text", "want"), [("0010", "10"), ("000", "0"), ("a1", "a1"), ("", ""), ("7", "7")])
 def test_numbers(spark, text, want):
     assert _one(spark, X.norm_number("x"), x=text) == want
