@@ -13,21 +13,22 @@ from kinloom.llm import bpe, jaccard_join, language, packing, quality, secret_sc
 from kinloom.llm.store import keep
 from kinloom.shipping import shipped
 
-#: A document whose best language machine stays below this says of no language that it is its own.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document of whose 3-grams the landmarks of all languages know a smaller share is in none of these languages.
+#: Scores can't tell: over the languages they sum to 1, so the best of L is 1 / L at least for any text.
+LEAST_KNOWN = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no language's machine claims, go.
+    """Documents without a letter, and those whose n-grams no learned language has, go.
 
     Without any labelled document nothing can be told, and only documents without a letter go.
     """
     model = language.train(docs)
-    found = language.identify(docs, model)
+    found = language.identify(docs, model, known="__known")
     if not model.languages:
         kept = found.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     else:
-        kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+        kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("__known") >= LEAST_KNOWN))
     return kept.select(*docs.columns)
 
 

@@ -91,6 +91,14 @@ class Model:
         size = np.sqrt(np.maximum([len(x) for x in spectra], 1))[:, None]
         return presence @ self.weights / size + self.offset
 
+    def known(self, codes: np.ndarray) -> float:
+        """The share of a spectrum's 3-grams that some landmark has; 0 if there is none."""
+        three = codes[codes >= 1 << 42]
+        if not len(three) or not len(self.ngrams):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.ngrams, three), len(self.ngrams) - 1)
+        return float((self.ngrams[at] == three).mean())
+
     def predict(self, texts) -> list[tuple[str, float]]:
         spectra = [spectrum(t) for t in texts]
         if not self.languages:
@@ -164,19 +172,26 @@ def spark_map(values: dict[str, int]) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` from the whole text; a pass over the rows, no shuffle."""
+def identify(docs: DataFrame, model: Model, text: str = "text", known: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` from the whole text; a pass over the rows, no shuffle.
+
+    ``known`` names a column for the share of the text's 3-grams that the landmarks know.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + (", known double" if known else ""))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(shared.value.predict(batch), columns=["lang_pred", "score"])
+            found = pd.DataFrame(shared.value.predict(batch), columns=["lang_pred", "score"])
+            if known:
+                found["known"] = [shared.value.known(spectrum(t)) for t in batch]
+            yield found
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    own = {"lang_pred": "lang_pred", "score": "score"} | ({known: "known"} if known else {})
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
     found = docs.select(*rest, predict(F.col(text)).alias("__language"))
-    return found.select(*rest, "__language.lang_pred", "__language.score")
+    return found.select(*rest, *[F.col(f"__language.{field}").alias(name) for name, field in own.items()])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

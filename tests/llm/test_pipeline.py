@@ -43,6 +43,23 @@ def test_stages(spark, tmp_path):
     assert all(a == b for a, b in whole.values())
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    import random
+
+    r = random.Random(3)
+    syllables = {"en": "the ing tion and er wh", "de": "sch ung ein keit ß ü", "es": "ción ado ll ñ que os", "fr": "eau ment aille é ois ch"}
+    text = lambda lang, n: " ".join("".join(r.choices(syllables[lang].split(), k=r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, r.randint(5, 60)), lang) for i, lang in enumerate(list(syllables) * 60)]
+    clean = [text(lang, n) for lang in syllables for n in (1, 2, 3, 40)]
+    foreign = ["Привет, как дела сегодня", "今天天气很好我们去公园", "καλημέρα τι κάνετε", "صباح الخير كيف حالك", "dzisiaj rano poszliśmy na targ kupić warzywa", "bu sabah taze ekmek almak için pazara gittik", "xqj vkzp wqxz jjvb pkq"]
+    rows += [(1000 + i, t, None) for i, t in enumerate(clean)] + [(2000 + i, t, None) for i, t in enumerate(foreign)]
+    for languages in (["de", "en", "es", "fr"], ["de", "en"], ["en"]):
+        own = [x for x in rows if x[2] in languages or x[0] >= 2000 or (x[2] is None and list(syllables)[(x[0] - 1000) // 4] in languages)]
+        docs = spark.createDataFrame(own, "doc_id long, text string, lang string")
+        kept = {x.doc_id for x in C.language_id(spark, docs, "/none").collect()}
+        assert kept == {x[0] for x in own if x[0] < 2000}
+
+
 def test_empty(spark):
     docs = _docs(spark)[0].limit(0)
     for _, stage in C.STAGES:
