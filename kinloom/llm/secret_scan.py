@@ -8,8 +8,9 @@ grown from ``FINDINGS`` labelled findings, written by ``labelled_findings`` from
 one SQL expression. A document is scanned, and cleaned, inside its own row: nothing is shuffled and all
 is SQL functions.
 
-Defined results: a null text has no finding; a value that occurs repeatedly in a text is one finding at
-its first place; repeated rows are scanned one by one; values are returned as digests, never in clear.
+Defined results: a null text has no finding; each place of a value is judged by its own neighbours, and a
+value found at one place is removed at all of them; repeated rows are scanned one by one; values are
+returned as digests, never in clear.
 """
 
 from __future__ import annotations
@@ -135,19 +136,32 @@ def train(spark, n: int = FINDINGS) -> list:
     return forest.grow(table[:, :-1], table[:, -1])
 
 
+def _placed(t: str, pattern: str, group: int = 0) -> str:
+    """SQL of an array of (start, v): a group at each match of the pattern; the group ends where its match does."""
+    p = _QUOTED(pattern)
+    values = f"regexp_extract_all({t}, {p}, {group})" if group else "m"
+    steps = f"zip_with(m, slice(split({t}, {p}), 1, size(m)), (a, b) -> length(a) + length(b))"
+    ends = f"aggregate({steps}, named_struct('at', 0, 'all', cast(array() AS array<int>)), (a, b) -> named_struct('at', a.at + b, 'all', concat(a.all, array(a.at + b))), a -> a.all)"
+    each = f"zip_with({values}, {ends}, (a, b) -> named_struct('start', b - length(a), 'v', a))"
+    return f"transform(array(regexp_extract_all({t}, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN {each} ELSE array() END)[0]"
+
+
 def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
-    """``docs`` with an array of (v, n, l, r, start): distinct values with the text around their first place."""
+    """``docs`` with an array of (v, n, l, r, start): values with the text around them, at each of their places."""
     t = f"coalesce(`{text}`, '')"
-    found = f"array_distinct(concat(regexp_extract_all({t}, {_QUOTED(BARE)}, 0), regexp_extract_all({t}, {_QUOTED(ASSIGNED)}, 1), regexp_extract_all({t}, {_QUOTED(BLOCK)}, 0)))"
-    placed = f"transform({found}, x -> named_struct('v', x, 'n', cast(length(x) AS double), 'start', instr({t}, x) - 1))"
-    around = f"""named_struct('v', c.v, 'n', c.n, 'l', substring({t}, greatest(c.start - {AROUND}, 0) + 1, least(c.start, {AROUND})),
-        'r', substring({t}, c.start + 1 + cast(c.n AS int), {AROUND}), 'start', c.start)"""
+    found = f"array_sort(concat({_placed(t, BARE)}, {_placed(t, ASSIGNED, 1)}, {_placed(t, BLOCK)}))"
+    placed = f"transform(array({found}), s -> filter(s, (x, i) -> i = 0 OR x <> get(s, i - 1)))[0]"
+    around = f"""named_struct('v', c.v, 'n', cast(length(c.v) AS double), 'l', substring({t}, greatest(c.start - {AROUND}, 0) + 1, least(c.start, {AROUND})),
+        'r', substring({t}, c.start + 1 + length(c.v), {AROUND}), 'start', c.start)"""
     full = f"CASE WHEN {t} rlike {_QUOTED(_ANY)} THEN transform({placed}, c -> {around}) ELSE array() END"
     return docs.withColumn(out, F.expr(full))
 
 
-def scan(docs: DataFrame, trees: list, text: str = "text", out: str = "findings", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``out``: an array of (value, start, kind, score) in the text's order, start counting code points from 0."""
+def scan(docs: DataFrame, trees: list, text: str = "text", out: str = "findings", threshold: float = THRESHOLD, every: bool = False) -> DataFrame:
+    """``docs`` with ``out``: an array of (start, value, kind, score) in the text's order, start counting code points from 0.
+
+    A value is there once, at the first place where it is a secret, or with ``every`` at each such place.
+    """
     had = "__candidates"
     rest = [F.col(f"`{c}`") for c in docs.columns if c != out]
     row = ", ".join(f"'{name}', cast({_over(sql, 'c.')} AS double)" for name, sql in FEATURES.items())
@@ -156,6 +170,9 @@ def scan(docs: DataFrame, trees: list, text: str = "text", out: str = "findings"
     score = forest.as_sql(trees, [f"x.{name}" for name in FEATURES])
     scored = f"transform({measured}, x -> named_struct('start', cast(x.start AS bigint), 'value', x.v, 'kind', {kind}, 'score', {score}))"
     kept = f"array_sort(filter({scored}, x -> x.score >= {threshold}D))"
+    if not every:
+        values = "transform(k, y -> y.value)"
+        kept = f"transform(array({kept}), k -> transform(array({values}), w -> filter(k, (x, i) -> array_position(w, x.value) = i + 1))[0])[0]"
     return candidates(docs.select(*rest), text, had).withColumn(out, F.expr(kept)).drop(had)
 
 
@@ -166,9 +183,9 @@ def clean(scanned: DataFrame, text: str = "text", findings: str = "findings", ma
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    """One row for each finding; the value itself stays where it was."""
+    """One row for each place of each finding; the value itself stays where it was."""
     from kinloom.llm.tables import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, train(spark)).select("doc_id", F.inline("findings"))
+    found = scan(docs, train(spark), every=True).select("doc_id", F.inline("findings"))
     return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), "kind", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"))

@@ -1,5 +1,7 @@
 """The forest's SQL against its walk, held-out findings, planted secrets, and clean texts left alone."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +52,30 @@ def test_scan_and_clean(spark, trees):
         if i != 13:
             assert texts[i] == TEXTS[i]
     assert S.scan(docs.limit(0), trees).count() == 0
+
+
+def _brute(text):
+    """Every (start, value) of the patterns, by Python's own engine."""
+    found = {(m.start(g), m[g]) for p, g in ((S.BARE, 0), (S.ASSIGNED, 1), (S.BLOCK, 0)) for m in re.finditer(p, text or "")}
+    return sorted(found)
+
+
+def test_every_place_is_a_candidate(spark):
+    texts = TEXTS + [f"é𝒳 {SECRETS[2]} x {SECRETS[2]}\ntoken={SECRETS[2]}", f"{SECRETS[0]} {SECRETS[0]}", f"password: {SECRETS[1]}, pwd='{SECRETS[1]}' {SECRETS[1]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in S.candidates(docs).collect():
+        text = r.text or ""
+        assert [(c.start, c.v) for c in r.candidates] == _brute(text)
+        assert all((c.l, c.r) == (text[max(0, c.start - S.AROUND) : c.start], text[c.start + len(c.v) :][: S.AROUND]) for c in r.candidates)
+
+
+def test_each_place_is_judged_by_its_own_neighbours(spark, trees):
+    value = SECRETS[2]
+    text = f"commit {value} was fine and later token = \"{value}\" and token = \"{value}\" again"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    every = S.scan(docs, trees, every=True).first().findings
+    places = [m.start() for m in re.finditer(value, text)]
+    assert [(f.start, f["value"]) for f in every] == [(at, value) for at in places[1:]]
+    once = S.scan(docs, trees)
+    assert [(f.start, f["value"]) for f in once.first().findings] == [(places[1], value)]
+    assert value not in S.clean(once).first().text
