@@ -44,7 +44,7 @@ DICTIONARY = (
 
 _WORDS = "|".join(sorted(map(str.lower, SECRET_WORDS), key=len, reverse=True))
 BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
-ASSIGNED = rf"(?i)(?<![a-z0-9])(?:{_WORDS})[\"']?[ \t]{{0,3}}(?:=|:|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,512}})"
+ASSIGNED = rf"(?i)(?<![a-z0-9])(?:{_WORDS})[\"']?[ \t]{{0,3}}(?:=|:|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,}}+)"
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
 _ANY = rf"(?i)[0-9]|(?:{_WORDS})[\"']?[ \t]{{0,3}}[:=]|-----BEGIN"
 
@@ -136,13 +136,17 @@ def train(spark, n: int = FINDINGS) -> list:
     return forest.grow(table[:, :-1], table[:, -1])
 
 
+def _sums(array: str) -> str:
+    """SQL of an array's running sums."""
+    return f"aggregate({array}, named_struct('at', 0, 'all', cast(array() AS array<int>)), (a, b) -> named_struct('at', a.at + b, 'all', concat(a.all, array(a.at + b))), a -> a.all)"
+
+
 def _placed(t: str, pattern: str, group: int = 0) -> str:
     """SQL of an array of (start, v): a group at each match of the pattern; the group ends where its match does."""
     p = _QUOTED(pattern)
     values = f"regexp_extract_all({t}, {p}, {group})" if group else "m"
     steps = f"zip_with(m, slice(split({t}, {p}), 1, size(m)), (a, b) -> length(a) + length(b))"
-    ends = f"aggregate({steps}, named_struct('at', 0, 'all', cast(array() AS array<int>)), (a, b) -> named_struct('at', a.at + b, 'all', concat(a.all, array(a.at + b))), a -> a.all)"
-    each = f"zip_with({values}, {ends}, (a, b) -> named_struct('start', b - length(a), 'v', a))"
+    each = f"zip_with({values}, {_sums(steps)}, (a, b) -> named_struct('start', b - length(a), 'v', a))"
     return f"transform(array(regexp_extract_all({t}, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN {each} ELSE array() END)[0]"
 
 
@@ -177,9 +181,16 @@ def scan(docs: DataFrame, trees: list, text: str = "text", out: str = "findings"
 
 
 def clean(scanned: DataFrame, text: str = "text", findings: str = "findings", mark: str = MARK) -> DataFrame:
-    """``scanned`` with every occurrence of each found value replaced by ``mark``, longer values first."""
-    longest = f"array_sort({findings}, (a, b) -> length(b.value) - length(a.value))"
-    return scanned.withColumn(text, F.expr(f"CASE WHEN size({findings}) > 0 THEN aggregate({longest}, `{text}`, (t, x) -> replace(t, x.value, '{mark}')) ELSE `{text}` END"))
+    """``scanned`` with every occurrence of each found value replaced by ``mark``; values that overlap get one mark."""
+    t = f"`{text}`"
+    exact = r"concat('\\Q', replace(v, '\\E', '\\E\\\\E\\Q'), '\\E')"
+    steps = "transform(slice(p, 1, size(p) - 1), x -> length(x) + length(v))"
+    spans = f"transform(array(split({t}, {exact})), p -> transform({_sums(steps)}, e -> named_struct('start', e - length(v), 'end', e)))[0]"
+    placed = f"array_sort(flatten(transform(array_distinct(transform({findings}, x -> x.value)), v -> {spans})))"
+    joined = f"""aggregate({placed}, named_struct('out', '', 'at', 0), (a, x) -> named_struct(
+        'out', CASE WHEN x.start >= a.at THEN concat(a.out, substring({t}, a.at + 1, x.start - a.at), '{mark}') ELSE a.out END, 'at', greatest(a.at, x.end)),
+        a -> concat(a.out, substring({t}, a.at + 1)))"""
+    return scanned.withColumn(text, F.expr(f"CASE WHEN size({findings}) > 0 THEN {joined} ELSE {t} END"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """The forest's SQL against its walk, held-out findings, planted secrets, and clean texts left alone."""
 
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -79,3 +81,18 @@ def test_each_place_is_judged_by_its_own_neighbours(spark, trees):
     once = S.scan(docs, trees)
     assert [(f.start, f["value"]) for f in once.first().findings] == [(places[1], value)]
     assert value not in S.clean(once).first().text
+
+
+def test_long_and_overlapping_values_go_whole(spark, trees):
+    r = random.Random(4)
+    pick = lambda k: "".join(r.choices(string.ascii_letters + string.digits, k=k))
+    long = f"eyJ{pick(300)}.{pick(500)}.{pick(342)}"
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + pick(200) + "\n-----END RSA PRIVATE KEY-----"
+    texts = [f"see token={long} and on", f"first secret=aB3x9QzL-----BEGIN{block[10:]} and on", f"a {block} b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    scanned = S.scan(docs, trees)
+    assert long in [f["value"] for f in scanned.filter("doc_id = 0").first().findings]
+    assert {x.doc_id: x.text for x in S.clean(scanned).collect()}[0] == f"see token={S.MARK} and on"
+    one = spark.createDataFrame([(1, "x abcdef-BEGIN k END y BEGIN k END \\\\E.", ["BEGIN k END", "abcdef-BEGIN", "\\\\E."])], "doc_id int, text string, values array<string>")
+    found = one.withColumn("findings", F.expr("transform(values, v -> named_struct('value', v))"))
+    assert S.clean(found).first().text == f"x {S.MARK} y {S.MARK} {S.MARK}"
