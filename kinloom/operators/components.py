@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.store import keep
+from kinloom.store import drop, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +26,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, component``: the least id reachable, for each id that ``links`` (two columns of one type) names.
+    """``id, component``: the least id reachable, for each id that ``links`` (two columns of one type) names; a kept table.
 
     Each round at least halves the depth of what isn't a star yet; a round reads what the last wrote.
     """
@@ -35,10 +35,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = keep(edges, "edges")
     before = _state(edges)
     while before[0]:
-        edges = keep(_stars(_stars(edges, large=True), large=False), "edges")
+        after = keep(_stars(_stars(edges, large=True), large=False), "edges")
+        drop(edges)
+        edges = after
         now = _state(edges)
         if now == before:
             break
         before = now
     roots = edges.select("b").distinct()
-    return edges.toDF("id", "component").union(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
+    out = keep(edges.toDF("id", "component").union(roots.select(F.col("b").alias("id"), F.col("b").alias("component"))), "components")
+    drop(edges)
+    return out

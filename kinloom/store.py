@@ -6,16 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+#: Bytes of fixed-width columns that may be broadcast, by counted rows.
+BROADCAST_BYTES = 1 << 24
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session; without it a temporary folder in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN.setdefault(app, tempfile.mkdtemp(prefix="kinloom-"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="kinloom-"))
     return found.rstrip("/")
 
 
@@ -27,4 +32,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kinloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = df.__dict__.get("kept_at")
+        if path:
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (fixed-width columns) marked for broadcast if it is counted to be small; else a join goes by shuffle."""
+    return F.broadcast(df) if 8 * len(df.columns) * df.count() <= BROADCAST_BYTES else df
