@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import bpe, jaccard_join, language, packing, quality, secret_scan
-from kinloom.llm.store import keep
+from kinloom.llm.store import keep, small
 from kinloom.shipping import shipped
 
 #: A document of whose 3-grams the landmarks of all languages know a smaller share is in none of these languages.
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of near copies (five words, 0.8) its smallest doc_id stays; rows without doc_id stay."""
     groups = jaccard_join.join(docs)
     gone = keep(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
-    return docs.join(jaccard_join.of_ids(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

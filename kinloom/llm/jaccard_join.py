@@ -6,13 +6,20 @@ n - H are equal: representatives that share so many parts are candidates, howeve
 shingles are. Parts that are empty in both need not tell them apart: n leaves room for a set's empty
 parts, and only a set with more of them than that shares empty parts too. No part is capped.
 
-A part's most central member, the one that shares most parts with others, is its pivot, and every member
-is held against the pivot first. A member that the pivot links needs no more in that part. The others
-are queries of a token-group matrix: the members of such parts are partitioned into groups of similar
-documents (by their most shared part, cut into groups of about ``GROUP``), a group's token union is
-stored once, a query's overlap with the union bounds its overlap with each member, and only groups that
-reach the needed overlap are opened and their members compared. Thus each link not implied by others
-through a pivot is found, and copies are never expanded into all pairs.
+Candidates are compared by a token-group matrix. A candidate's home is its most crowded shared part;
+the candidates of a home, cut into groups of about ``GROUP`` texts or ``GROUP_CHARS`` characters, are a
+group of similar documents. A group's token union is stored once, a query's overlap with the union
+bounds its overlap with each member, and only where that reaches what a link needs is the group opened
+and its members compared. This runs in three steps, each after contracting what the last one linked:
+
+1. the members of a group are the queries of their own group;
+2. each component sends one member to the group of the most central document with which it shares most
+   parts, as long as that links anything;
+3. every candidate that still shares enough parts with other components meets all groups that hold them.
+
+Step 3 makes the result exact; after step 1 and 2 only candidates that are in truth apart are left to it.
+A comparison never joins what is one component by then, so a group of n members gives at most n - 1 links
+and copies are never expanded into pairs.
 
 Tokens are 64-bit hashes of shingles. Defined results: an empty or null text has no shingles and is
 linked with nothing, not even its like; rows of one doc_id are one document, whatever their texts;
@@ -24,14 +31,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.operators.components import components
 from kinloom.llm.shingles import mix, overlap, tokens
-from kinloom.llm.store import keep, small_batches
+from kinloom.llm.store import batches, drop, keep, small
+from kinloom.operators.components import components
 
 #: What near-duplicate stages take.
 WORDS = 5
@@ -39,14 +45,23 @@ PERCENT = 80
 #: What the registered query takes.
 OP4_WORDS = 3
 OP4_PERCENT = 90
-#: Members of a token group, about.
+#: Members of a token group, and the characters of their texts, about.
 GROUP = 512
-#: Queries that meet a group in one task.
+GROUP_CHARS = 1 << 24
+#: Queries that meet a group in one task, and the characters of their texts, about.
 QUERIES = 1024
+QUERY_CHARS = 1 << 25
 #: Ratio of the largest to the smallest set of a size class.
 CLASS = 1.5
-#: Ids of eight bytes that may be broadcast, by their counted number; more are joined by a shuffle.
-BROADCAST_IDS = 1 << 21
+#: Times that each component sends one member, at most.
+SENDINGS = 3
+#: Parts that a task sorts before it sends them, and texts they are of, at most (one text may have more parts).
+SORTED_PARTS = 1 << 22
+SORTED_TEXTS = 1 << 16
+#: Occurrences of a part among the texts sorted together that go to the part's own bucket; the others are known to be shared.
+ALONE = 2
+#: Characters of text for each bucket of parts.
+BUCKET_CHARS = 1 << 25
 
 
 def _classes(most: int = 1 << 40) -> np.ndarray:
@@ -72,7 +87,7 @@ def parts(own: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
     """
     n = len(own)
     if not n:
-        return np.empty(0, dtype=np.int64), 1
+        return np.empty(0, dtype=np.uint64), 1
     top = int(np.searchsorted(LOW, n, "right")) - 1
     out, need = [], []
     with np.errstate(over="ignore"):
@@ -94,7 +109,7 @@ def parts(own: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
             # At least spare + 1 parts are equal; those that are empty in both are empty in this one.
             out.append(keys[full] if empty <= spare else keys)
             need.append(max(1, spare + 1 - empty))
-    return np.concatenate(out).view(np.int64), min(need)
+    return np.concatenate(out), min(need)
 
 
 def digest(own: np.ndarray) -> tuple[int, int]:
@@ -109,127 +124,354 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+# ---- parts that several sets share ----
+
+_SENT = pa.schema([("b", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("rest", pa.binary()), *[(c, pa.int64()) for c in ("doc_id", "n_shingles", "d0", "d1", "need", "chars")]])
+_FOUND = pa.schema([(c, pa.int64()) for c in ("part", "k", "doc_id", "n_shingles", "d0", "d1", "need", "chars")])
+_FOUND_SQL = ", ".join(f"{f.name} long" for f in _FOUND)
+
+
+def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, so that high zero bytes compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _sent(own: list[np.ndarray], keys: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for each bucket: sorted parts, and by which of the sets ``keys`` each is held."""
+    part = np.concatenate(own)
+    holder = np.repeat(np.arange(len(own), dtype=np.uint16), [len(x) for x in own])
+    part = ((part >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (part & np.uint64(0xFFFFFFFF))
+    order = np.argsort(part, kind="stable")
+    part, holder = part[order], holder[order]
+    new = np.concatenate([[True], (part[1:] != part[:-1]) | (holder[1:] != holder[:-1])])
+    part, holder = part[new], holder[new]
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    often = np.arange(len(part)) - np.repeat(begins, np.diff(np.append(begins, len(part)))) >= ALONE
+    names = np.array(keys, dtype=np.int64)
+    if often.any():
+        known, of = part[often], names[holder[often]]
+        for i in range(0, len(known), 1 << 16):
+            yield _rows(_SENT, b=[int(of[i]) % buckets], keys=[of[i : i + (1 << 16)].tobytes()], rest=[known[i : i + (1 << 16)].tobytes()])
+        part, holder = part[~often], holder[~often]
+    bucket = (part >> np.uint64(32)).astype(np.int64)
+    ends = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(part))
+    for i in range(0, len(ends) - 1, 64):
+        rows: dict[str, list] = {"b": [], "keys": [], "places": [], "rest": []}
+        for low, high in zip(ends[i : i + 64], ends[i + 1 : i + 65], strict=False):
+            rest = (part[low:high] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            used, place = np.unique(holder[low:high], return_inverse=True)
+            few = 4 * len(used) < 3 * (high - low)  # else each part names its set itself
+            rows["b"].append(int(bucket[low]))
+            rows["keys"].append((names[used] if few else names[holder[low:high]]).tobytes())
+            rows["places"].append(_planes(place.astype(np.uint16)) if few else b"")
+            rows["rest"].append(_planes(np.diff(rest, prepend=np.uint32(0))))
+        yield _rows(_SENT, **rows)
+
+
+def _send(size: int, percent: int, buckets: int):
+    """A pass over the texts: a row for each document, and the parts of each set that the task meets first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        own, keys, held, count = [], [], 0, 0
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                text = text.as_py()
+                mine = tokens(text, size)
+                d, (part, need) = digest(mine), parts(mine, percent)
+                count += 1
+                rows.append((count % buckets, doc_id, len(mine), *d, need, len(text or "")))
+                if len(mine) and doc_id is not None and d not in seen:
+                    seen.add(d)
+                    own.append(part)
+                    keys.append(d[0])
+                    held += len(part)
+                    if held >= SORTED_PARTS or len(own) >= SORTED_TEXTS:
+                        yield from _sent(own, keys, buckets)
+                        own, keys, held = [], [], 0
+            if rows:
+                yield _rows(_SENT, **dict(zip(("b", "doc_id", "n_shingles", "d0", "d1", "need", "chars"), map(list, zip(*rows, strict=True)), strict=True)))
+        if own:
+            yield from _sent(own, keys, buckets)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as they are, and of a bucket's parts those that several sets hold."""
+    all_parts, all_keys = [], []
+    for batch in batches:
+        if len(docs := batch.filter(batch["keys"].is_null())):
+            yield pa.record_batch([pa.nulls(len(docs), pa.int64())] * 2 + [docs[c] for c in _FOUND.names[2:]], schema=_FOUND)
+        for b, keys, places, rest in zip(*(batch[c].to_pylist() for c in ("b", "keys", "places", "rest")), strict=True):
+            if keys is None:
+                continue
+            names = np.frombuffer(keys, np.int64)
+            if places is None:
+                yield _rows(_FOUND, part=np.frombuffer(rest, np.int64), k=names)
+                continue
+            all_parts.append(np.cumsum(_numbers(rest, np.uint32), dtype=np.uint64) | np.uint64(b << 32))
+            all_keys.append(names[_numbers(places, np.uint16)] if places else names)
+    if not all_parts:
+        return
+    part, key = np.concatenate(all_parts), np.concatenate(all_keys)
+    del all_parts, all_keys
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    again = part[1:] == part[:-1]
+    twice = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+    part, key = part[twice], key[order[twice]]
+    order = np.lexsort((key, part))
+    part, key = part[order], key[order]
+    new = np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])]) if len(part) else np.empty(0, bool)
+    part, key = part[new], key[new]
+    again = part[1:] == part[:-1]
+    twice = (np.concatenate([[False], again]) | np.concatenate([again, [False]])) if len(part) else np.empty(0, bool)
+    part, key = part[twice].view(np.int64), key[twice]
+    for i in range(0, len(part), 1 << 18):
+        yield _rows(_FOUND, part=part[i : i + (1 << 18)], k=key[i : i + (1 << 18)])
+
+
 def sets(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, d0, d1, need, parts``: a pass over the texts."""
+    """Rows (doc_id, n_shingles, d0, d1, need, chars) of documents, and rows (part, k) of parts that several sets share, k their d0.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [tokens(t, size) for t in batch["text"]]
-            d = [digest(x) for x in own]
-            p = [parts(x, percent) for x in own]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(x) for x in own], "d0": [x[0] for x in d], "d1": [x[1] for x in d], "need": [x[1] for x in p], "parts": [x[0] for x in p]})
+    One pass over the texts and one exchange. A task sends the parts of equal sets once, and of a part that many
+    of its sets hold only ``ALONE`` to the part's bucket, so a bucket doesn't grow with a group of copies.
+    """
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = own.mapInArrow(_send(size, percent, buckets), "b int, keys binary, places binary, rest binary, doc_id long, n_shingles long, d0 long, d1 long, need long, chars long")
+    return sent.repartitionById(buckets, "b").mapInArrow(_shared, _FOUND_SQL)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, d0 long, d1 long, need int, parts array<long>")
 
+# ---- the token-group matrix ----
 
-def of_ids(ids: DataFrame) -> DataFrame:
-    """``ids`` marked for broadcast if they are counted to be few enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
+class _Trees:
+    """Which component each id is in, as far as known; ``join`` tells whether it was news."""
 
-def _pairs(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are linked."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    def __init__(self) -> None:
+        self.up: dict = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, pivot = None, None
-        for batch in batches:
-            good = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if last != b or text != y:
-                    last, text, pivot = b, y, tokens(y, size)
-                good.append(linked(tokens(x, size), pivot, percent))
-            yield batch.loc[good, ["a", "b"]]
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
+    def join(self, x, y) -> None:
+        self.up[self.root(x)] = self.root(y)
 
 
-def _grouped(texts: DataFrame, queries: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between ``queries`` (doc_id, g) and ``members`` (doc_id, g) of the groups they are to meet."""
-    load = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).alias("rounds"))
-    many = queries.join(load, "g").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("rounds"))).join(texts, "doc_id").select("g", "s", "doc_id", "text")
-    few = members.join(load, "g").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1))).join(texts, "doc_id")
-    few = few.select(*[F.col(c).alias(f"{c}_in") for c in ("g", "s", "doc_id", "text")])
+def _order(table: pa.Table, size: int) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Ids, components and sets, the most central document first."""
+    table = table.sort_by([("central", "descending"), ("doc_id", "ascending")])
+    return table["doc_id"].to_pylist(), table["comp"].to_pylist(), [tokens(t.as_py(), size) for t in table["text"]]
+
+
+def _fits(n: int, sizes: np.ndarray, common: int, percent: int) -> np.ndarray:
+    """Members that can be linked with a set of ``n`` tokens, ``common`` of them in the union."""
+    # Of linked sets 100 |x & y| >= p |x | y|, so (100 + p) |x & y| >= p (|x| + |y|).
+    return np.flatnonzero((100 * n >= percent * sizes) & (percent * n <= 100 * sizes) & ((100 + percent) * common >= percent * (n + sizes)))
+
+
+def _edges(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _within(size: int, percent: int):
+    """Links that join what isn't one component yet among the members of a group, each a query of its own group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(group) > 1:
+            ids, comps, inside = _order(group, size)
+            sizes, trees = np.array([len(x) for x in inside]), _Trees()
+            union, times = np.unique(np.concatenate(inside), return_counts=True)
+            others = union[times > 1]  # what a member has in common with the union of the others
+            for i in range(1, len(ids)):
+                for j in _fits(len(inside[i]), sizes[:i], overlap(inside[i], others), percent):
+                    if trees.root(comps[i]) != trees.root(comps[j]) and linked(inside[i], inside[j], percent):
+                        trees.join(comps[i], comps[j])
+                        a.append(ids[i])
+                        b.append(ids[j])
+        return _edges(a, b)
+
+    return run
+
+
+def _across(size: int, percent: int):
+    """The same between queries and a group that isn't theirs; a query asks only for components of a higher rank."""
 
     def run(asked: pa.Table, group: pa.Table) -> pa.Table:
         a, b = [], []
         if len(asked) and len(group):
-            inside = [tokens(t, size) for t in group["text_in"].to_pylist()]
-            ids, sizes = group["doc_id_in"].to_pylist(), np.array([len(x) for x in inside])
+            group = group.rename_columns([c.removesuffix("_in") for c in group.column_names])
+            ids, comps, inside = _order(group, size)
+            sizes, trees = np.array([len(x) for x in inside]), _Trees()
             union = np.unique(np.concatenate(inside))
-            for doc, text in zip(asked["doc_id"].to_pylist(), asked["text"].to_pylist(), strict=True):
-                own = tokens(text, size)
-                n = len(own)
-                fits = (100 * n >= percent * sizes) & (percent * n <= 100 * sizes)
-                if not fits.any():
-                    continue
-                # Of linked sets 100 |x & y| >= p |x | y|, so (100 + p) |x & y| >= p (|x| + |y|).
-                bound = (100 + percent) * overlap(own, union)
-                for k in np.flatnonzero(fits & (bound >= percent * (n + sizes))):
-                    if ids[k] != doc and linked(own, inside[k], percent):
+            for doc, comp, own in zip(*_order(asked, size), strict=True):
+                for k in _fits(len(own), sizes, overlap(own, union), percent):
+                    if trees.root(comp) != trees.root(comps[k]) and linked(own, inside[k], percent):
+                        trees.join(comp, comps[k])
                         a.append(doc)
                         b.append(ids[k])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(a, b)
+
+    return run
+
+
+def _cuts(of: DataFrame, key: str, rows: int, chars: int) -> DataFrame:
+    """``key, cuts``: in how many groups the rows of a key go; ``chief``: their most central document."""
+    size = F.greatest(F.count("*") / rows, F.sum("chars") / chars)
+    return of.groupBy(key).agg(F.count("*").alias("n"), F.ceil(size).cast("long").alias("cuts"), F.max(F.struct("central", (-F.col("doc_id")).alias("first"), "comp", "chars")).alias("chief"))
+
+
+def _placed(nodes: DataFrame, key: str, group: int, name: str) -> DataFrame:
+    """``nodes`` with their group ``g`` by ``key``, where it has several members; each group of a key holds the key's chief too."""
+    sizes = keep(_cuts(nodes, key, group, GROUP_CHARS).filter("n > 1"), f"{name}-sizes")
+    g = F.xxhash64(F.lit(name), key, "cut").alias("g")
+    own = nodes.join(sizes.select(key, "cuts"), key).withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts"))
+    chiefs = sizes.filter("cuts > 1").select(key, "chief.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut")).withColumn("doc_id", -F.col("first"))
+    out = own.select("doc_id", "comp", "central", "chars", g).union(chiefs.select("doc_id", "comp", "central", "chars", g))
+    out = keep(out.distinct(), name)
+    drop(sizes)
+    return out
+
+
+def _compared(texts: DataFrame, placed: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    inside = texts.join(small(placed), "doc_id").select("g", "doc_id", "comp", "central", "text")
+    return keep(inside.groupBy("g").applyInArrow(_within(size, percent), "a long, b long"), name)
+
+
+def _met(texts: DataFrame, queries: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between ``queries`` and ``members`` of the groups they are to meet; both (g, doc_id, comp, central, chars)."""
+    load = keep(queries.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / QUERIES, F.sum("chars") / QUERY_CHARS)).cast("long").alias("rounds")), "rounds")
+    many = queries.join(load, "g").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("rounds"))).join(texts, "doc_id").select("g", "s", "doc_id", "comp", "central", "text")
+    few = members.join(load, "g").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1))).join(texts, "doc_id")
+    few = few.select(*[F.col(c).alias(f"{c}_in") for c in ("g", "s", "doc_id", "comp", "central", "text")])
+    out = keep(many.groupBy("g", "s").cogroup(few.groupBy("g_in", "s_in")).applyInArrow(_across(size, percent), "a long, b long"), "links-across")
+    drop(load)
+    return out
+
 
-    return many.groupBy("g", "s").cogroup(few.groupBy("g_in", "s_in")).applyInArrow(run, "a long, b long")
+def _open(have: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shared parts that several components hold, with their most central holder; and their holders, where they hold enough of them."""
+    whose = have.join(small(nodes.select("doc_id", "comp", "central")), "doc_id").select("part", "doc_id", "comp", "central")
+    head = F.max(F.struct("central", (-F.col("doc_id")).alias("first"), "comp"))
+    several = keep(whose.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), head.alias("head")).filter("low < high").select("part", "head"), "open-parts")
+    holders = whose.select("part", "doc_id").join(several, "part")
+    enough = holders.groupBy("doc_id").agg(F.count("*").alias("open")).join(nodes, "doc_id").filter("open >= need").drop("open")
+    return several, keep(enough, "open")
 
 
-def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP, repeated: bool = False) -> DataFrame:
     """Links (a, b) that connect the components of class representatives; ``found`` is ``sets``, kept."""
-    key = ["n_shingles", "d0", "d1"]
-    real = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = real.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    copies = keep(real.select("doc_id", *key).join(reps, key).filter("doc_id <> rep").select("doc_id", "d0", "d1").distinct(), "copies")
-    held = real.join(of_ids(copies), ["doc_id", "d0", "d1"], "left_anti").select(F.explode("parts").alias("part"), "doc_id")
-    # Dealt once by part: the count and the join with it need the same columns, and so use the same exchange.
-    dealt = held.repartition("part")
-    shared = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("part", "n")
-    have = keep(dealt.join(shared, "part").select("part", "doc_id", "n").distinct(), "shared-parts")
-    needs = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("need").alias("need"))
-
-    near = keep(have.groupBy("doc_id").agg(F.sum("n").alias("central")), "central")
-    rank = F.struct("central", (-F.col("doc_id")).alias("first"))
-    pivots = have.join(near, "doc_id").groupBy("part").agg((-F.max(rank)["first"]).alias("pivot"))
-    star = keep(have.join(pivots, "part").filter("doc_id <> pivot").select("part", "doc_id", "n", "pivot"), "stars")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of_ids(near.select("doc_id")), "doc_id", "left_semi")
-    texts = keep(texts.distinct(), "texts")
-    # A member that shares fewer parts with its pivot than a link needs isn't held against it here; it is a query below.
-    votes = star.groupBy("doc_id", "pivot").agg(F.count("*").alias("votes")).join(needs, "doc_id").filter("votes >= need")
-    pairs = keep(votes.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "pairs")
-    first = keep(_pairs(texts, pairs, size, percent), "links")
-
-    # Where the pivot isn't known to link a member, that member is a query, unless only the two share the part and were compared.
-    both = lambda df: df.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
-    left = star.join(both(first), ["doc_id", "pivot"], "left_anti")
-    left = left.join(both(pairs).withColumn("held", F.lit(1)), ["doc_id", "pivot"], "left").filter("n > 2 OR held IS NULL")
-    asked = keep(left.select("part", "doc_id"), "asked")
-    inside = have.join(asked.select("part").distinct(), "part", "left_semi")
-    home = inside.groupBy("doc_id").agg(F.max(F.struct("n", "part"))["part"].alias("home"))
-    full = home.groupBy("home").agg(F.ceil(F.count("*") / group).alias("cuts"))
-    placed = keep(home.join(full, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cuts")).alias("g")), "groups")
-    # A query meets the groups with which it shares an asked part and, over all its parts, as many as a link needs.
-    where = have.join(placed, "doc_id").select("part", "g").distinct()
-    mine = have.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").join(asked.withColumn("open", F.lit(1)), ["part", "doc_id"], "left")
-    queries = mine.join(where, "part").groupBy("doc_id", "g").agg(F.count("*").alias("parts"), F.max("open").alias("open")).filter("open = 1")
-    queries = queries.join(needs, "doc_id").filter("parts >= need").select("doc_id", "g")
-    return first.union(_grouped(texts, keep(queries, "queries"), placed, size, percent))
+    shared = found.filter("part IS NOT NULL").select("part", "k")
+    reps = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need"), F.max("chars").alias("chars"))
+    counts = shared.groupBy("k").agg(F.count("*").alias("shared"))
+    live = keep(reps.join(counts, F.col("d0") == F.col("k")).filter("shared >= need").select("k", "doc_id", "need", "chars"), "live")
+    mine = shared.join(small(live.select("k", "doc_id")), "k").select("part", "doc_id")
+    held = keep(mine.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("part", "n"), "held")
+    have = keep(mine.join(held, "part").select("part", "doc_id", "n"), "shared-parts")
+    drop(held)
+    facts = live.groupBy("doc_id").agg(F.min("need").alias("need"), F.max("chars").alias("chars"))
+    central = have.groupBy("doc_id").agg(F.count("*").alias("shared"), F.sum("n").alias("central"), F.max(F.struct("n", "part"))["part"].alias("home"))
+    nodes = keep(central.join(facts, "doc_id").filter("shared >= need").select("doc_id", F.col("doc_id").alias("comp"), "central", "home", "need", "chars"), "nodes")
+    drop(live)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(nodes.select("doc_id")), "doc_id", "left_semi")
+    texts = keep(texts.distinct() if repeated else texts, "texts")
+
+    placed = _placed(nodes, "home", group, "home-groups")
+    edges = [_compared(texts, placed, size, percent, "links-within")]
+    drop(placed)
+    for _ in range(SENDINGS + 1):
+        whole = components(_all(edges))
+        now = keep(nodes.drop("comp").join(whole.toDF("doc_id", "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "components")
+        drop(whole)
+        several, left = _open(have, now)
+        last = len(edges) > SENDINGS or len(edges) > 1 and edges[-1].isEmpty()
+        if left.isEmpty():
+            edges_done = True
+        elif not last:
+            edges_done = False
+            # Each component's member that shares most parts with the head of a part that several components hold.
+            toward = have.select("part", "doc_id").join(several.select("part", (-F.col("head.first")).alias("head"), F.col("head.comp").alias("head_comp")), "part").join(small(left), "doc_id")
+            votes = toward.filter("comp <> head_comp").groupBy("comp", "doc_id", "head", "need").agg(F.count("*").alias("votes")).filter("votes >= need")
+            one = keep(votes.groupBy("comp").agg(F.max(F.struct("votes", (-F.col("head")).alias("h"), (-F.col("doc_id")).alias("d"))).alias("x")).select((-F.col("x.d")).alias("doc_id"), (-F.col("x.h")).alias("head")), "sent")
+            go = one.join(now, "doc_id").select("head", "doc_id", "comp", "central", "chars")
+            at = one.select("head").distinct().join(now, F.col("head") == F.col("doc_id")).select("head", "doc_id", F.col("comp"), F.lit(1 << 62).alias("central"), "chars")
+            sent = _placed(go.union(at), "head", group, "sent-groups")
+            edges.append(_compared(texts, sent, size, percent, "links-sent"))
+            drop(one, sent)
+        else:
+            edges_done = True
+            edges.append(_rest(have, several, left, now, texts, size, percent, group))
+        drop(several, left, now)
+        if edges_done:
+            break
+    drop(have, nodes, texts)
+    return _all(edges)
+
+
+def _all(edges: list[DataFrame]) -> DataFrame:
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    return out
+
+
+def _rest(have: DataFrame, several: DataFrame, left: DataFrame, now: DataFrame, texts: DataFrame, size: int, percent: int, group: int) -> DataFrame:
+    """Step 3: of two candidates of different components, that of the smaller component (or lower name) meets the other's group."""
+    ranks = keep(now.groupBy("comp").agg(F.count("*").alias("members")), "ranks")
+    sizes = keep(_cuts(left, "home", group, GROUP_CHARS).select("home", "cuts"), "rest-sizes")
+    own = left.join(sizes, "home").join(small(ranks), "comp").withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cuts")))
+    own = keep(own.select("doc_id", "comp", "central", "chars", "need", "g", F.struct("members", "comp").alias("rank")), "rest")
+    holders = keep(have.select("part", "doc_id").join(several.select("part"), "part", "left_semi").join(small(own.select("doc_id", "g", "rank")), "doc_id"), "holders")
+    where = keep(holders.groupBy("part", "g").agg(F.max("rank").alias("top")), "where")
+    asked = holders.select("part", "doc_id", "rank").join(where, "part").filter(F.col("rank") < F.col("top")).groupBy("doc_id", "g").agg(F.count("*").alias("parts"))
+    queries = asked.join(own.drop("g", "rank"), "doc_id").filter("parts >= need").select("g", "doc_id", "comp", "central", "chars")
+    queries = keep(queries, "queries")
+    out = _met(texts, queries, own, size, percent)
+    drop(ranks, sizes, own, holders, where, queries)
+    return out
 
 
 def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs``."""
-    small_batches(docs.sparkSession)
-    found = keep(sets(docs, size, percent), "sets")
-    key = ["n_shingles", "d0", "d1"]
-    reps = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    # Rows of one doc_id with several sets stand in several classes, which they link.
-    ties = found.filter("n_shingles > 0").join(reps, key).filter("doc_id <> rep").select("doc_id", "rep")
-    several = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("d0").alias("x"), F.max("d0").alias("y")).filter("x <> y").select("doc_id")
-    edges = links(docs, found, size, percent, group).union(ties.join(several, "doc_id", "left_semi"))
-    whole = components(edges).toDF("rep", "component")
-    classes = reps.join(whole, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", *key).join(classes, key, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with batches(docs.sparkSession):
+        found = keep(sets(docs, size, percent), "sets")
+        key = ["n_shingles", "d0", "d1"]
+        rows = found.filter("part IS NULL").select("doc_id", *key)
+        full = rows.filter("n_shingles > 0")
+        several = keep(full.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("n > 1").select("doc_id", (F.col("x") < F.col("y")).alias("apart")), "several")
+        repeated = not several.isEmpty()
+        classes = keep(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+        edges = links(docs, found, size, percent, group, repeated)
+        if repeated:
+            # Rows of one doc_id with several sets stand in several classes, which they link.
+            ties = full.join(small(several.filter("apart").select("doc_id")), "doc_id", "left_semi").join(classes, key).filter("doc_id <> rep")
+            edges = edges.union(ties.select("doc_id", "rep"))
+        whole = components(edges)
+        # Classes of one row that nothing links keep their own id; so do texts without shingles.
+        moved = classes.join(whole.toDF("rep", "component"), "rep", "left").filter("n > 1 OR component <> rep").select(*key, F.coalesce("component", "rep").alias("component"))
+        moved = keep(moved, "moved")
+        drop(whole, several, classes)
+    out = full.join(small(moved), key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
