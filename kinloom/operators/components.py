@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kinloom.store import drop, keep
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether ``edges`` (a, b) are stars: no centre hangs on another, and nothing hangs twice."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("hangs")).union(edges.select("b", F.lit(0)).distinct())
+    return ends.groupBy("x").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("least")).filter("n > 1 OR n = 1 AND least = 0").isEmpty()
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,17 +33,12 @@ def components(links: DataFrame) -> DataFrame:
     Each round at least halves the depth of what isn't a star yet; a round reads what the last wrote.
     """
     a, b = links.columns
-    edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    edges = keep(edges, "edges")
-    before = _state(edges)
-    while before[0]:
+    found = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    edges = keep(found, "edges")
+    while not _flat(edges):
         after = keep(_stars(_stars(edges, large=True), large=False), "edges")
         drop(edges)
         edges = after
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     roots = edges.select("b").distinct()
     out = keep(edges.toDF("id", "component").union(roots.select(F.col("b").alias("id"), F.col("b").alias("component"))), "components")
     drop(edges)
