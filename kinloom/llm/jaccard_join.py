@@ -14,7 +14,7 @@ and its members compared. This runs in three steps, each after contracting what
 
 1. the members of a group are the queries of their own group;
 2. each component sends one member to the group of the most central document with which it shares most
-   parts, as long as that links anything;
+   parts;
 3. every candidate that still shares enough parts with other components meets all groups that hold them.
 
 Step 3 makes the result exact; after step 1 and 2 only candidates that are in truth apart are left to it.
@@ -53,8 +53,6 @@ QUERIES = 1024
 QUERY_CHARS = 1 << 25
 #: Ratio of the largest to the smallest set of a size class.
 CLASS = 1.5
-#: Times that each component sends one member, at most.
-SENDINGS = 3
 #: Parts that a task sorts before it sends them, and texts they are of, at most (one text may have more parts).
 SORTED_PARTS = 1 << 22
 SORTED_TEXTS = 1 << 16
@@ -396,37 +394,28 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
     texts = keep(texts.distinct() if repeated else texts, "texts")
 
     placed = _placed(nodes, "home", group, "home-groups")
-    edges = [_compared(texts, placed, size, percent, "links-within")]
+    within = _compared(texts, placed, size, percent, "links-within")
     drop(placed)
-    for _ in range(SENDINGS + 1):
-        whole = components(_all(edges))
-        now = keep(nodes.drop("comp").join(whole.toDF("doc_id", "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "components")
-        drop(whole)
-        several, left = _open(have, now)
-        last = len(edges) > SENDINGS or len(edges) > 1 and edges[-1].isEmpty()
-        if left.isEmpty():
-            edges_done = True
-        elif not last:
-            edges_done = False
-            # Each component's member that shares most parts with the head of a part that several components hold.
-            toward = have.select("part", "doc_id").join(several.select("part", (-F.col("head.first")).alias("head"), F.col("head.comp").alias("head_comp")), "part").join(small(left), "doc_id")
-            votes = toward.filter("comp <> head_comp").groupBy("comp", "doc_id", "head", "need").agg(F.count("*").alias("votes")).filter("votes >= need")
-            one = keep(votes.groupBy("comp").agg(F.max(F.struct("votes", (-F.col("head")).alias("h"), (-F.col("doc_id")).alias("d"))).alias("x")).select((-F.col("x.d")).alias("doc_id"), (-F.col("x.h")).alias("head")), "sent")
-            go = one.join(now, "doc_id").select("head", "doc_id", "comp", "central", "chars")
-            at = one.select("head").distinct().join(now, F.col("head") == F.col("doc_id")).select("head", "doc_id", F.col("comp"), F.lit(1 << 62).alias("central"), "chars")
-            sent = _placed(go.union(at), "head", group, "sent-groups")
-            edges.append(_compared(texts, sent, size, percent, "links-sent"))
-            drop(one, sent)
-        else:
-            edges_done = True
-            edges.append(_rest(have, several, left, now, texts, size, percent, group))
+    edges, now, several, left = _contracted(nodes, have, [within])
+    if not left.isEmpty():
+        edges.append(_sent_on(have, several, left, now, texts, size, percent, group))
         drop(several, left, now)
-        if edges_done:
-            break
-    drop(have, nodes, texts)
+        edges, now, several, left = _contracted(nodes, have, edges)
+    if not left.isEmpty():
+        edges.append(_rest(have, several, left, now, texts, size, percent, group))
+    drop(several, left, now, have, nodes, texts)
     return _all(edges)
 
 
+def _contracted(nodes: DataFrame, have: DataFrame, edges: list[DataFrame]) -> tuple[list[DataFrame], DataFrame, DataFrame, DataFrame]:
+    """``edges``, and ``nodes`` with their components by them, and what is open between these."""
+    whole = components(_all(edges))
+    known = nodes.drop("comp").join(whole.toDF("doc_id", "component"), "doc_id", "left")
+    now = keep(known.withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "contracted")
+    drop(whole)
+    return edges, now, *_open(have, now)
+
+
 def _all(edges: list[DataFrame]) -> DataFrame:
     out = edges[0]
     for e in edges[1:]:
@@ -434,6 +423,22 @@ def _all(edges: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _sent_on(have: DataFrame, several: DataFrame, left: DataFrame, now: DataFrame, texts: DataFrame, size: int, percent: int, group: int) -> DataFrame:
+    """Step 2: each component's member that shares most parts with the head of a part that several components hold meets that head."""
+    heads = several.select("part", (-F.col("head.first")).alias("head"), F.col("head.comp").alias("head_comp"))
+    toward = have.select("part", "doc_id").join(heads, "part").join(small(left), "doc_id").filter("comp <> head_comp")
+    votes = toward.groupBy("comp", "doc_id", "head", "need").agg(F.count("*").alias("votes")).filter("votes >= need")
+    most = F.max(F.struct("votes", (-F.col("head")).alias("h"), (-F.col("doc_id")).alias("d")))
+    one = votes.groupBy("comp").agg(most.alias("x")).select((-F.col("x.d")).alias("doc_id"), (-F.col("x.h")).alias("head"))
+    one = keep(one, "sent")
+    go = one.join(now, "doc_id").select("head", "doc_id", "comp", "central", "chars")
+    at = one.select("head").distinct().join(now, F.col("head") == F.col("doc_id")).select("head", "doc_id", "comp", F.lit(1 << 62).alias("central"), "chars")
+    placed = _placed(go.union(at), "head", group, "sent-groups")
+    found = _compared(texts, placed, size, percent, "links-sent")
+    drop(one, placed)
+    return found
+
+
 def _rest(have: DataFrame, several: DataFrame, left: DataFrame, now: DataFrame, texts: DataFrame, size: int, percent: int, group: int) -> DataFrame:
     """Step 3: of two candidates of different components, that of the smaller component (or lower name) meets the other's group."""
     ranks = keep(now.groupBy("comp").agg(F.count("*").alias("members")), "ranks")
