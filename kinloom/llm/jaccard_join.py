@@ -6,18 +6,17 @@ n - H are equal: representatives that share so many parts are candidates, howeve
 shingles are. Parts that are empty in both need not tell them apart: n leaves room for a set's empty
 parts, and only a set with more of them than that shares empty parts too. No part is capped.
 
-Candidates are compared by a token-group matrix. A candidate's home is its most crowded shared part;
-the candidates of a home, cut into groups of about ``GROUP`` texts or ``GROUP_CHARS`` characters, are a
-group of similar documents. A group's token union is stored once, a query's overlap with the union
+Candidates are compared by a token-group matrix. A candidate's home is the document with which it shares
+most parts, among the most central holders of its parts; the candidates of a home, cut into groups of about
+``GROUP`` texts or ``GROUP_CHARS`` characters, are a group of similar documents. A group's token union is stored once, a query's overlap with the union
 bounds its overlap with each member, and only where that reaches what a link needs is the group opened
-and its members compared. This runs in three steps, each after contracting what the last one linked:
+and its members compared. This runs in two steps:
 
-1. the members of a group are the queries of their own group;
-2. each component sends one member to the group of the most central document with which it shares most
-   parts;
-3. every candidate that still shares enough parts with other components meets all groups that hold them.
+1. the members of a group are the queries of their own group, and what they link is contracted;
+2. every candidate that still shares enough parts with other components meets all groups that hold them.
 
-Step 3 makes the result exact; after step 1 and 2 only candidates that are in truth apart are left to it.
+Step 2 makes the result exact; after step 1 nearly only candidates that are in truth apart are left to it.
+Of those, a family of n similar texts that aren't linked asks for n / ``GROUP`` groups a text.
 A comparison never joins what is one component by then, so a group of n members gives at most n - 1 links
 and copies are never expanded into pairs.
 
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.shingles import mix, overlap, tokens
@@ -46,7 +45,7 @@ PERCENT = 80
 OP4_WORDS = 3
 OP4_PERCENT = 90
 #: Members of a token group, and the characters of their texts, about.
-GROUP = 512
+GROUP = 1024
 GROUP_CHARS = 1 << 24
 #: Queries that meet a group in one task, and the characters of their texts, about.
 QUERIES = 1024
@@ -387,8 +386,15 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
     have = keep(mine.join(held, "part").select("part", "doc_id", "n"), "shared-parts")
     drop(held)
     facts = live.groupBy("doc_id").agg(F.min("need").alias("need"), F.max("chars").alias("chars"))
-    central = have.groupBy("doc_id").agg(F.count("*").alias("shared"), F.sum("n").alias("central"), F.max(F.struct("n", "part"))["part"].alias("home"))
-    nodes = keep(central.join(facts, "doc_id").filter("shared >= need").select("doc_id", F.col("doc_id").alias("comp"), "central", "home", "need", "chars"), "nodes")
+    central = have.groupBy("doc_id").agg(F.count("*").alias("shared"), F.sum("n").alias("central"))
+    enough = keep(central.join(facts, "doc_id").filter("shared >= need").select("doc_id", "central", "need", "chars"), "enough")
+    # A candidate's home is the document with which it shares most of the parts whose most central holder that is.
+    whose = have.join(small(enough.select("doc_id", "central")), "doc_id").select("part", "doc_id", "central")
+    heads = keep(whose.groupBy("part").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("first")))["first"].alias("first")), "heads")
+    votes = whose.select("part", "doc_id").join(heads, "part").groupBy("doc_id", "first").agg(F.count("*").alias("votes"))
+    home = votes.groupBy("doc_id").agg((-F.max(F.struct("votes", "first"))["first"]).alias("home"))
+    nodes = keep(enough.join(home, "doc_id").withColumn("comp", F.col("doc_id")), "nodes")
+    drop(enough, heads)
     drop(live)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(nodes.select("doc_id")), "doc_id", "left_semi")
     texts = keep(texts.distinct() if repeated else texts, "texts")
@@ -397,10 +403,6 @@ def links(docs: DataFrame, found: DataFrame, size: int = WORDS, percent: int = P
     within = _compared(texts, placed, size, percent, "links-within")
     drop(placed)
     edges, now, several, left = _contracted(nodes, have, [within])
-    if not left.isEmpty():
-        edges.append(_sent_on(have, several, left, now, texts, size, percent, group))
-        drop(several, left, now)
-        edges, now, several, left = _contracted(nodes, have, edges)
     if not left.isEmpty():
         edges.append(_rest(have, several, left, now, texts, size, percent, group))
     drop(several, left, now, have, nodes, texts)
@@ -423,32 +425,20 @@ def _all(edges: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _sent_on(have: DataFrame, several: DataFrame, left: DataFrame, now: DataFrame, texts: DataFrame, size: int, percent: int, group: int) -> DataFrame:
-    """Step 2: each component's member that shares most parts with the head of a part that several components hold meets that head."""
-    heads = several.select("part", (-F.col("head.first")).alias("head"), F.col("head.comp").alias("head_comp"))
-    toward = have.select("part", "doc_id").join(heads, "part").join(small(left), "doc_id").filter("comp <> head_comp")
-    votes = toward.groupBy("comp", "doc_id", "head", "need").agg(F.count("*").alias("votes")).filter("votes >= need")
-    most = F.max(F.struct("votes", (-F.col("head")).alias("h"), (-F.col("doc_id")).alias("d")))
-    one = votes.groupBy("comp").agg(most.alias("x")).select((-F.col("x.d")).alias("doc_id"), (-F.col("x.h")).alias("head"))
-    one = keep(one, "sent")
-    go = one.join(now, "doc_id").select("head", "doc_id", "comp", "central", "chars")
-    at = one.select("head").distinct().join(now, F.col("head") == F.col("doc_id")).select("head", "doc_id", "comp", F.lit(1 << 62).alias("central"), "chars")
-    placed = _placed(go.union(at), "head", group, "sent-groups")
-    found = _compared(texts, placed, size, percent, "links-sent")
-    drop(one, placed)
-    return found
-
-
 def _rest(have: DataFrame, several: DataFrame, left: DataFrame, now: DataFrame, texts: DataFrame, size: int, percent: int, group: int) -> DataFrame:
-    """Step 3: of two candidates of different components, that of the smaller component (or lower name) meets the other's group."""
+    """Step 2: of two candidates of different components, that of the smaller component (or lower name) meets the other's group."""
     ranks = keep(now.groupBy("comp").agg(F.count("*").alias("members")), "ranks")
     sizes = keep(_cuts(left, "home", group, GROUP_CHARS).select("home", "cuts"), "rest-sizes")
     own = left.join(sizes, "home").join(small(ranks), "comp").withColumn("g", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cuts")))
     own = keep(own.select("doc_id", "comp", "central", "chars", "need", "g", F.struct("members", "comp").alias("rank")), "rest")
-    holders = keep(have.select("part", "doc_id").join(several.select("part"), "part", "left_semi").join(small(own.select("doc_id", "g", "rank")), "doc_id"), "holders")
+    held = have.join(several.select("part"), "part", "left_semi").join(small(own.select("doc_id", "g", "rank", "need")), "doc_id")
+    # Of need shared parts, however need - least are chosen and left out, least remain; the most crowded ones are left out.
+    least = F.greatest(F.lit(1), F.floor(F.col("need") / 4))
+    crowded = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "part"))
+    holders = keep(held.withColumn("asks", crowded > F.col("need") - least).select("part", "doc_id", "g", "rank", "asks"), "holders")
     where = keep(holders.groupBy("part", "g").agg(F.max("rank").alias("top")), "where")
-    asked = holders.select("part", "doc_id", "rank").join(where, "part").filter(F.col("rank") < F.col("top")).groupBy("doc_id", "g").agg(F.count("*").alias("parts"))
-    queries = asked.join(own.drop("g", "rank"), "doc_id").filter("parts >= need").select("g", "doc_id", "comp", "central", "chars")
+    asked = holders.filter("asks").select("part", "doc_id", "rank").join(where, "part").filter(F.col("rank") < F.col("top")).groupBy("doc_id", "g").agg(F.count("*").alias("parts"))
+    queries = asked.join(own.drop("g", "rank"), "doc_id").filter(F.col("parts") >= least).select("g", "doc_id", "comp", "central", "chars")
     queries = keep(queries, "queries")
     out = _met(texts, queries, own, size, percent)
     drop(ranks, sizes, own, holders, where, queries)
