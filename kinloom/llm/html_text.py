@@ -1,15 +1,19 @@
 r"""Main text of web pages by consensus of a host's pages.
 
-Each page's containers are scored: a block of text counts for the container around it, and half for the
-one around that, less the part that is link text. The best container's generalised path (tags with
-their classes, lower-cased, digits as ``0``) is the page's vote, weighted by its share of the page in
-thousandths. Spark adds the votes by host and path; each host's winning path then says which
-containers of its pages are extracted. A page without such a container, or with no text there, falls
-back on its own best one.
+Each page's containers are scored by the text inside them that isn't link text. The search goes from the
+page down: into the container that holds ``MOST`` of what is around it, as long as nothing else around it
+is text of its own; a ``main`` or ``article`` with a quarter of the page is taken whole. So a title beside
+sections, and sections beside each other, stay together. The container's generalised path (tags with
+their classes, lower-cased, digits as ``0``; carried as a hash of the path around it and its own step) is the
+page's vote, weighted by its share of the page in thousandths. Spark adds the votes by host and path; each
+host's winning path then says which containers of its pages are extracted. A page without such a
+container, or with no text there, falls back on its own best one.
 
 Blocks keep page order and are joined by one \n. Character references are decoded, white space inside a
 block becomes one space. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out by tag, role, or class and id words.
+and reader comments are left out by tag, role, or class and id words; a paragraph only by words that
+can't mean its contents. An unclosed comment, script or style reaches to the page's end; a ``<`` that no
+``>`` follows is text. Time and memory are in proportion to the page, however tags are nested or broken.
 
 The winners have one row a host. They are broadcast only when their measured size is below
 ``BROADCAST_BYTES``; beyond it they are joined by a shuffle, where adaptive execution splits hot hosts.
@@ -22,10 +26,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,21 +54,37 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody thead tfoot table ul ol dl figure figcaption caption address summary details center".split())
 CLOSES_ITSELF = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table article section div main body".split())
+PROSE = frozenset("p li blockquote pre td th dd dt figcaption".split())
+PLAIN_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter subscribe subscription signup copyright comment comments".split())
+KEPT = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+DENIALS = frozenset("no not non has with without".split())
 
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|>|->|.*\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
+#: Share of a container's text that the search follows into one container inside it.
+MOST = 0.9
+
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Node:
+    """An open element; ``near`` is the nearest one, itself included, that closes itself or limits that."""
+
     tag: str
     path: str
     parent: Node | None
     dropped: bool
-    container: bool
+    main: bool
+    inside: bool
+    around: Node | None = None
+    near: Node | None = None
+    direct: int = 0
+    worth: int = 0
 
 
 @dataclass(slots=True)
@@ -76,10 +98,48 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)} if source else {}
 
 
-def parse(page: str | None) -> list[Block]:
-    """The blocks of text outside of what is dropped, in page order."""
-    top = Node("", "", None, False, True)
+def _words(names: str) -> set[str]:
+    """Words of class and id names, without names such as ``no-sidebar``."""
+    split = map(_WORD.findall, names.lower().split())
+    return {w for words in split if words and words[0] not in DENIALS for w in words}
+
+
+class _Tags:
+    """Tags of a page from left to right; each search that finds nothing is made once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.none = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends: at a ``>`` outside of quotes, if there is one, or the first."""
+        first = self.find(">", at)
+        while first >= 0:
+            at = _PLAIN.match(self.page, at).end()
+            if at >= len(self.page):
+                return first
+            if self.page[at] == ">":
+                return at
+            at = self.find(self.page[at], at + 1) + 1
+            if not at:
+                return first
+        return -1
+
+
+def parse(page: str | None, path: str | None = None) -> list[Block]:
+    """The blocks of text outside of what is dropped, in page order; ``path`` marks the nodes inside it."""
+    page = page or ""
+    top = Node("", "", None, False, False, path == "")
+    top.around = top.near = top
     node, blocks, parts, linked, links = top, [], [], 0, 0
+    tags, opened, at = _Tags(page), Counter(), 0
 
     def flush():
         nonlocal linked
@@ -97,17 +157,38 @@ def parse(page: str | None) -> list[Block]:
             if links:
                 linked += len(piece)
 
-    at, page = 0, page or ""
-    for m in iter(lambda: _TAG.search(page, at), None):
-        add(page[at : m.start()])
-        at = m.end()
-        if not (tag := m[2] or m[5]):
+    def leave(up):
+        nonlocal node
+        while node is not up:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            add(page[at:begin])
+            short = next((x for x in ("<!-->", "<!--->") if page.startswith(x, begin)), None)
+            end = begin + len(short) - 3 if short else tags.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            add(page[at:begin])
+            end = tags.find(">", begin)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        name = _NAME.match(page, begin + 1)
+        end = tags.end(name.end()) if name else -1
+        if end < 0:  # no tag: text up to the next one
+            more = page.find("<", begin + 1) if ">" not in tags.none else -1
+            add(page[at : more if more >= 0 else len(page)])
+            at = more if more >= 0 else len(page)
             continue
-        tag, closing, source = tag.lower(), m[1] or m[4], m[3] or m[6]
+        add(page[at:begin])
+        at = end + 1
+        closing, tag, source = name[1], name[2].lower(), page[name.end() : end]
         if tag in RAW:
             if not closing:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                over = _RAW_END[tag].search(page, at)
+                at = over.end() if over else len(page)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -122,67 +203,85 @@ def parse(page: str | None) -> list[Block]:
         flush()
         if closing:
             links = 0
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag]:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
             continue
         shut = CLOSES_ITSELF.get(tag, ("p",))
-        up = node
+        up = node.near
         while up.tag and up.tag not in LIMITS and up.tag not in shut:
-            up = up.parent
+            up = up.parent.near
         if up.tag in shut:
-            node = up.parent
+            leave(up.parent)
         found = _attributes(source)
-        words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else ()
+        role, name_words = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}"
         dropped = node.dropped or tag in DROPPED or "hidden" in found
-        if found and not dropped and tag not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
-            dropped = bool(WORDS.intersection(words)) or found.get("role", "").lower() in ROLES
+        if found and not dropped and tag not in KEPT:
+            dropped = bool((PLAIN_WORDS if tag in PROSE else WORDS).intersection(_words(name_words))) or role in ROLES
         classes = sorted(set(_DIGITS.sub("0", found.get("class", "").lower()).split())) if found else ()
-        node = Node(tag, f"{node.path}/{'.'.join([tag, *classes])}", node, dropped, tag not in PARAGRAPHS)
+        way = xxhash.xxh64_hexdigest(f"{node.path}/{'.'.join([tag, *classes])}".encode("utf-8", "surrogatepass"))
+        node = Node(tag, way, node, dropped, tag in ("main", "article") or role == "main", node.inside or way == path)
+        node.around = node if tag not in PARAGRAPHS else node.parent.around
+        node.near = node if tag in LIMITS or tag in CLOSES_ITSELF else node.parent.near
+        opened[tag] += 1
     add(page[at:])
     flush()
     return blocks
 
 
-def _around(node: Node) -> Node:
-    while not node.container and node.parent is not None:
-        node = node.parent
-    return node
-
-
 def best(blocks: list[Block]) -> tuple[str, int]:
     """The path of the best container and its weight: its share of the page's text in thousandths."""
-    score: dict[str, int] = {}
+    known: dict[int, Node] = {}
     for b in blocks:
-        worth = 2 * (len(b.text) - b.linked)
-        near = _around(b.node)
-        score[near.path] = score.get(near.path, 0) + worth
-        if near.parent is not None:
-            far = _around(near.parent)
-            score[far.path] = score.get(far.path, 0) + worth // 2
-    if not score:
+        near, worth = b.node.around, len(b.text) - b.linked
+        near.worth += worth
+        near.direct += worth if 2 * worth >= len(b.text) else 0
+        while near is not None and id(near) not in known:
+            known[id(near)] = near
+            near = near.parent.around if near.parent is not None else None
+    worth, direct, inside, mains = Counter(), Counter(), {}, Counter()
+    depth: dict[int, int] = {}
+    for n in known.values():  # depth by way of the nearest known one
+        way = []
+        while n is not None and id(n) not in depth:
+            way.append(n)
+            n = n.parent.around if n.parent is not None else None
+        base = depth[id(n)] if n is not None else -1
+        for i, x in enumerate(reversed(way), 1):
+            depth[id(x)] = base + i
+    for n in sorted(known.values(), key=lambda x: -depth[id(x)]):
+        worth[n.path] += n.worth
+        direct[n.path] += n.direct
+        if n.parent is not None:
+            far = n.parent.around
+            far.worth += n.worth
+            inside.setdefault(far.path, set()).add(n.path)
+            if n.main:
+                mains[n.path] = depth[id(n)]
+    total = worth[""]
+    if not total:
         return "", 0
-    path = max(score, key=lambda p: (score[p], len(p), p))
-    return path, 1000 * score[path] // max(1, 2 * sum(len(b.text) for b in blocks))
-
-
-def _inside(node: Node | None, path: str) -> bool:
-    while node is not None:
-        if node.path == path:
-            return True
-        node = node.parent
-    return False
+    path, entries = "", [p for p in mains if 4 * worth[p] >= total]
+    if entries:
+        path = min(entries, key=lambda p: (mains[p], -worth[p], p))
+    else:
+        while inside.get(path) and not direct[path]:
+            largest = max(inside[path], key=lambda p: (worth[p], p))
+            if worth[largest] < MOST * worth[path]:
+                break
+            path = largest
+    return path, max(1, 1000 * worth[path] // max(1, sum(len(b.text) for b in blocks)))
 
 
 def extract(page: str | None, path: str | None) -> str:
     """Text of the containers of that path; of the page's own best one if there is none."""
-    blocks = parse(page)
-    found = [b.text for b in blocks if _inside(b.node, path)] if path else []
-    if not found:
+    blocks = parse(page, path)
+    found = [b.text for b in blocks if b.node.inside]
+    if not found and blocks:
         own, _ = best(blocks)
-        found = [b.text for b in blocks if _inside(b.node, own)]
+        found = [b.text for b in parse(page, own) if b.node.inside]
     return "\n".join(found)
 
 

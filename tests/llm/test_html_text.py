@@ -12,7 +12,7 @@ TEXT = "Head & line\nOne two three four\nCafé <b> a < b\nx\ny z\nSaid"
 
 def test_page():
     path, weight = H.best(H.parse(PAGE))
-    assert path.endswith("/article.post-0")
+    assert {b.node.around.path for b in H.parse(PAGE) if b.text == "Said"} == {path}
     assert weight > 900
     assert H.extract(PAGE, path) == TEXT
     assert H.extract(PAGE, "/no/such") == TEXT
@@ -27,6 +27,58 @@ def test_broken_pages():
     assert H.extract("<div>" * 3000 + "deep", None) == "deep"
 
 
+def _plain(page):
+    """Text of an article of sections by the library's own parser: every block, nothing chosen or dropped."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out = [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.out.append("")
+
+        handle_endtag = lambda self, tag: self.out.append("")
+
+        def handle_data(self, data):
+            self.out[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "\n".join(x for x in (" ".join(t.split()) for t in reader.out) if x)
+
+
+def test_whole_articles():
+    import random
+
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice(["stone", "r&amp;d", "water", "&eacute;t&eacute;", "light"]) for _ in range(n))
+    for outer in ("main", "article", "div", "section"):
+        for sections in (1, 2, 3, 9):
+            for tag in ("div", "section"):
+                parts = "".join(f"<{tag}><h2>{text(2)}</h2><p class='share'>{text(r.randint(5, 90))}</p><p>{text(4)}</p></{tag}>" for _ in range(sections))
+                own = f"<{outer} class='x has-sidebar'><h1>{text(3)}</h1>{parts}</{outer}>"
+                page = f"<body class='sidebar'><nav><p>{text(9)}</p></nav><div class='wrap'>{own}</div><div class='ad'>{text(90)}</div><footer>{text(5)}</footer></body>"
+                assert H.extract(page, H.best(H.parse(page))[0]) == H.extract(page, None) == _plain(own)
+
+
+def test_hostile_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    pages = ["<a " * 350_000, "<" * 1_000_000, "<p '\">" * 150_000, "<div>" * 200_000, "<div><p>x" * 50_000 + "</section>" * 100_000, "<x>" * 200_000 + "t", "<!-- " * 200_000, "<script>" * 100_000, "<a href='" * 100_000, "<p><div>" + "<x>y" * 100_000]
+    for page in pages:
+        first = time.process_time()
+        H.extract(page, "/none")
+        assert time.process_time() - first < 20, page[:20]
+    tracemalloc.start()
+    H.extract("<div>" * 50_000, "/none")
+    assert tracemalloc.get_traced_memory()[1] < 75e6
+    tracemalloc.stop()
+
+
 def test_host_consensus(spark):
     good = "<body><div class='c{0}'><p>" + "main text of the page " * 5 + "</p></div><div class='z'><p>{1}</p></div></body>"
     pages = [(i, f"http://h.com/{i}", good.format(i, "small")) for i in range(5)]
