@@ -18,30 +18,42 @@ from kinloom.shipping import shipped
 LEAST_KNOWN = 0.8
 
 
+def _rows(docs: DataFrame, *needed: str) -> DataFrame:
+    """Each row whole beside the columns that an operator needs, so that nothing an operator adds meets a column of the same name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *needed)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose n-grams no learned language has, go.
 
     Without any labelled document nothing can be told, and only documents without a letter go.
     """
     model = language.train(docs)
-    found = language.identify(docs, model, known="__known")
+    found = language.identify(_rows(docs, "text"), model, known="__known")
     if not model.languages:
         kept = found.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     else:
         kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("__known") >= LEAST_KNOWN))
-    return kept.select(*docs.columns)
+    return kept.select("__row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the current policy go."""
-    return quality.with_policy(quality.ledger(docs), name="__kept").filter("__kept").select(*docs.columns)
+    return quality.with_policy(quality.ledger(_rows(docs, "text")), name="__kept").filter("__kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five words, 0.8) its smallest doc_id stays; rows without doc_id stay."""
+    """Of each component of near copies (five words, 0.8) its smallest doc_id stays, in one row; rows without doc_id stay."""
     groups = jaccard_join.join(docs)
     gone = keep(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    several = keep(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "several")
+    if several.isEmpty():
+        return left
+    again = small(several)
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), "text")).alias("__row")
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("__row.*")
+    return left.join(again, "doc_id", "left_anti").union(one)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,10 +7,13 @@ which one-versus-rest kernel ridge regression learns each language. As all of th
 landmark's n-grams, the landmarks' part is multiplied out once: a batch of texts is scored by one
 product of its presence matrix with an n-gram by language matrix.
 
-Bounds: at most ``PER_LANGUAGE`` training rows of each language value leave the executors, as n-gram
-sets, and ``LANDMARKS`` of them are landmarks, taken evenly from the languages. Which rows these are
-depends on a hash of doc_id alone. The broadcast matrix has a row for each n-gram of the landmarks,
-at most ``MAX_NGRAMS``.
+Bounds of the labelled sample: of the ``LANGUAGES`` most frequent lang values, each has at most
+``PER_LANGUAGE`` training rows, in the order of a hash of doc_id, and no more than make up its share of
+``NGRAMS`` n-grams, or else one row. ``LANDMARKS`` of the rows are landmarks, taken evenly from the
+languages. The broadcast matrix has a row for each n-gram of the landmarks; none is left out. Matrices are
+multiplied ``COLUMNS`` n-grams at a time.
+
+A row without doc_id is not held out.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if no
 labelled row with a letter exists. Repeated rows are judged one by one, ties go to the language that
@@ -34,8 +37,10 @@ UNDETERMINED = "und"
 PER_LANGUAGE = 400
 LANDMARKS = 256
 RIDGE = 1e-3
-MAX_NGRAMS = 1 << 20
-#: Code points whose n-grams are gathered at once; longer texts go in overlapping stretches.
+LANGUAGES = 1024
+NGRAMS = 1 << 23
+COLUMNS = 1 << 16
+#: Code points whose n-grams are gathered at once; a longer text's stretches hand over their last characters.
 STRETCH = 1 << 20
 #: Texts scored by one matrix product.
 ROWS = 64
@@ -54,27 +59,38 @@ def _letters() -> np.ndarray:
 
 def spectrum(text: str | None) -> np.ndarray:
     """The distinct n-grams as sorted 64-bit codes, 21 bits a character; empty if there is no letter."""
-    if not text:
-        return np.empty(0, dtype=np.int64)
-    found = []
+    found, last, letters = np.empty(0, dtype=np.int64), np.array([32]), False
+    text = (text or "").lower()
     for at in range(0, len(text), STRETCH):
-        a = np.frombuffer(text[max(0, at - 2) : at + STRETCH].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        a = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), dtype="<u4")
         kind = _letters()[a]
-        if not (kind == 2).any():
-            continue
-        c = np.full(len(a) + 2, 32, dtype=np.int64)
-        c[1:-1] = np.where(kind, a, 32)
+        letters = letters or bool((kind == 2).any())
+        end = [32] if at + STRETCH >= len(text) else []
+        c = np.concatenate([last, np.where(kind, a, 32), end]).astype(np.int64)
         c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
         two = (c[:-1] << 21) | c[1:]
         three = (two[:-1] << 21) | c[2:]
-        found.append(np.unique(np.concatenate([c, two, three])))
-    if not found:
-        return np.empty(0, dtype=np.int64)
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        found = np.unique(np.concatenate([found, c, two, three]))
+        last = c[-2:]
+    return found if letters else np.empty(0, dtype=np.int64)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def _places(ngrams: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places in ``ngrams`` (sorted) of those ``codes`` that it has."""
+    at = np.searchsorted(ngrams, codes)
+    at[at == len(ngrams)] = 0
+    return at[ngrams[at] == codes] if len(ngrams) else at[:0]
+
+
+def _presence(places: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(places), width), dtype=np.float32)
+    for row, at in zip(out, places, strict=True):
+        row[at] = 1
+    return out
 
 
 class Model:
@@ -83,13 +99,14 @@ class Model:
 
     def decide(self, spectra: list[np.ndarray]) -> np.ndarray:
         """Values of the one-versus-rest machines, a row for each spectrum."""
-        presence = np.zeros((len(spectra), len(self.ngrams)), dtype=np.float32)
-        for row, codes in zip(presence, spectra, strict=True):
-            at = np.searchsorted(self.ngrams, codes)
-            at[at == len(self.ngrams)] = 0
-            row[at[self.ngrams[at] == codes]] = 1
+        where = [_places(self.ngrams, x) for x in spectra]
+        used = np.unique(np.concatenate(where))
+        values = np.zeros((len(spectra), len(self.languages)), dtype=np.float32)
+        for low in range(0, len(used), COLUMNS):
+            columns = used[low : low + COLUMNS]
+            values += _presence([_places(columns, x) for x in where], len(columns)) @ self.weights[columns]
         size = np.sqrt(np.maximum([len(x) for x in spectra], 1))[:, None]
-        return presence @ self.weights / size + self.offset
+        return values / size + self.offset
 
     def known(self, codes: np.ndarray) -> float:
         """The share of a spectrum's 3-grams that some landmark has; 0 if there is none."""
@@ -117,22 +134,25 @@ def fit(spectra: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS
     own = [[i for i, x in enumerate(labels) if x == lang] for lang in languages]
     share = max(1, landmarks // len(languages))
     marks = [i for rows in own for i in rows[:share]]
-    ngrams, count = np.unique(np.concatenate([spectra[i] for i in marks]), return_counts=True)
-    if len(ngrams) > MAX_NGRAMS:  # the rarest say least, and the broadcast stays bounded
-        ngrams = np.sort(ngrams[np.lexsort((ngrams, -count))[:MAX_NGRAMS]])
-
-    def normal(rows):
-        m = np.zeros((len(rows), len(ngrams)), dtype=np.float32)
-        for row, i in zip(m, rows, strict=True):
-            at = np.minimum(np.searchsorted(ngrams, spectra[i]), len(ngrams) - 1)
-            row[at[ngrams[at] == spectra[i]]] = 1 / np.sqrt(len(spectra[i]))
-        return m
-
-    base = normal(marks)
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    ngrams = np.unique(np.concatenate([spectra[i] for i in marks]))
+    where = [_places(ngrams, x) for x in spectra]
+    scale = 1 / np.sqrt([len(x) for x in spectra])
+
+    def block(rows, low):
+        """The normalised presence of some n-grams in ``rows``."""
+        width = min(COLUMNS, len(ngrams) - low)
+        cut = [where[i][slice(*np.searchsorted(where[i], (low, low + width)))] - low for i in rows]
+        return _presence(cut, width) * scale[list(rows), None].astype(np.float32)
+
+    kernel = np.zeros((len(labels), len(marks)))
+    for low in range(0, len(ngrams), COLUMNS):
+        base = block(marks, low)
+        for i in range(0, len(labels), LANDMARKS):
+            kernel[i : i + LANDMARKS] += block(range(i, min(i + LANDMARKS, len(labels))), low) @ base.T
+    values, vectors = np.linalg.eigh(kernel[marks])
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    features = np.concatenate([normal(range(i, min(i + 256, len(labels)))) @ base.T for i in range(0, len(labels), 256)]) @ root
+    features = kernel @ root
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = np.array([1 / len(own[languages.index(x)]) for x in labels])[:, None] / len(languages)  # each language counts the same
     mean = (weight * features).sum(axis=0)
@@ -140,16 +160,18 @@ def fit(spectra: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS
     centred = features - mean
     gram = centred.T @ (weight * centred) + ridge * np.eye(len(mean))
     w = np.linalg.solve(gram, centred.T @ (weight * (target - level)))
-    return Model(languages, ngrams, (base.T @ (root @ w)).astype(np.float32), (level - mean @ w).astype(np.float32))
+    weights = np.concatenate([block(marks, low).T @ (root @ w) for low in range(0, len(ngrams), COLUMNS)])
+    return Model(languages, ngrams, weights.astype(np.float32), (level - mean @ w).astype(np.float32))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE, ngrams: int = NGRAMS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows that aren't held out."""
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit([], [])
+    most = ngrams // len(counts)
     # A draw by hash of a fifth and 20 more rows than wanted; the hash order decides which of them stay.
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 30))
     limit = spark_map({lang: int((1 << 30) * min(1.0, (1.2 * per_language + 20) / n)) for lang, n in counts.items()})
@@ -163,8 +185,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     found: dict[str, list] = {}
     for r in drawn.mapInPandas(spectra, "lang string, unit long, codes binary").toLocalIterator():
         if r.codes:
-            found.setdefault(r.lang, []).append((r.unit, bytes(r.codes)))
-    taken = [(lang, np.frombuffer(c, dtype=np.int64)) for lang in sorted(found) for _, c in sorted(found[lang])[:per_language]]
+            own = sorted([*found.get(r.lang, []), (r.unit, bytes(r.codes))])[:per_language]
+            sizes = np.cumsum([len(c) // 8 for _, c in own])
+            found[r.lang] = own[: max(1, int(np.searchsorted(sizes, most, "right")))]
+    taken = [(lang, np.frombuffer(c, dtype=np.int64)) for lang in sorted(found) for _, c in found[lang]]
     return fit([c for _, c in taken], [lang for lang, _ in taken], landmarks, ridge)
 
 

@@ -9,7 +9,7 @@ remains (less than a sequence and a piece) starts the next buffer. Only the last
 partition is padded.
 
 Each Spark partition packs its own rows, so there is no shuffle and memory is bounded by the buffer
-and one document. Sequence ids carry the partition's number; a task that runs again reads the same
+and one document: of what waits, only the tail's tokens are held, a sequence at most. Sequence ids carry the partition's number; a task that runs again reads the same
 rows in the same order and gives the same ids.
 
 Defined results: a null text counts as empty and gives one piece, its end id; repeated rows are packed
@@ -99,6 +99,24 @@ class Packer:
         self.sequences += n
 
 
+class Held:
+    """A document's tokens from ``first`` on, and how many it has in all."""
+
+    __slots__ = ("doc_id", "first", "ids", "total")
+
+    def __init__(self, doc_id: object, ids: np.ndarray) -> None:
+        self.doc_id, self.ids, self.total, self.first = doc_id, ids, len(ids), 0
+
+    def row(self, start: int, length: int, sequence: int, offset: int) -> tuple:
+        own = self.ids[start - self.first : start - self.first + length]
+        return self.doc_id, start, length, zlib.crc32(own.tobytes()), self.total, sequence, offset
+
+    def keep_tail(self, capacity: int) -> None:
+        """Whole sequences of tokens are written by now."""
+        self.first = self.total - self.total % capacity
+        self.ids = self.ids[self.first :].copy()
+
+
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -112,18 +130,19 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, buffer: int = BUF
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 40
 
-        def rows(pieces):
-            out = [(d[0], s, n, zlib.crc32(d[1][s : s + n].tobytes()), len(d[1]), first + q, o) for d, s, n, q, o in pieces]
-            return pd.DataFrame(out, columns=COLUMNS)
+        def row(piece):
+            held, start, length, sequence, offset = piece
+            return held.row(start, length, first + sequence, offset)
 
         for batch in batches:
             found = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*own.encode(text), END_ID], dtype="<u4")
-                found += packer.add((doc_id, ids), len(ids))
+                held = Held(doc_id, np.array([*own.encode(text), END_ID], dtype="<u4"))
+                found += map(row, packer.add(held, held.total))
+                held.keep_tail(capacity)
             if found:
-                yield rows(found)
-        yield rows(packer.pack(last=True))
+                yield pd.DataFrame(found, columns=COLUMNS)
+        yield pd.DataFrame(list(map(row, packer.pack(last=True))), columns=COLUMNS)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

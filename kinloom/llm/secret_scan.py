@@ -1,7 +1,8 @@
 r"""Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Candidates are runs of 12 or more key characters with a digit, values of 6 or more characters after a
-secret word and ``=`` or ``:``, and private key blocks. Each has features: length, transitions between
+secret word and ``=`` or ``:``, and private key blocks (one that nothing ends is its head and the key
+characters after it). Each has features: length, transitions between
 kinds of characters, shares of digits, capitals and distinct characters, how much of it dictionary words
 cover, whether it is part of a path, what the neighbouring words say, and known prefixes. The forest is
 grown from ``FINDINGS`` labelled findings, written by ``labelled_findings`` from a fixed seed; scoring is
@@ -43,9 +44,9 @@ DICTIONARY = (
 ).split()
 
 _WORDS = "|".join(sorted(map(str.lower, SECRET_WORDS), key=len, reverse=True))
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 ASSIGNED = rf"(?i)(?<![a-z0-9])(?:{_WORDS})[\"']?[ \t]{{0,3}}(?:=|:|=>)[ \t]{{0,3}}[\"']?([^\s\"',;<>]{{6,}}+)"
-BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*+)"
 _ANY = rf"(?i)[0-9]|(?:{_WORDS})[\"']?[ \t]{{0,3}}[:=]|-----BEGIN"
 
 _QUOTED = lambda s: "r'" + s.replace("'", r"\x27") + "'"

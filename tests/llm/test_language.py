@@ -43,12 +43,20 @@ def test_spectrum():
     assert np.array_equal(L.spectrum("A--b!1"), L.spectrum("a b"))
     assert len(L.spectrum(None)) == len(L.spectrum("")) == len(L.spectrum("12 ²³ !?")) == 0
     text = "".join(random.Random(2).choices("abcdé ", k=5000))
-    whole, L.STRETCH = L.spectrum(text), 100
+    texts = [text, "ab    cd" * 30, "x" + " " * 700 + "y\u0301z ΑΣ ΣΑΣ İi", "12 " * 400 + "a", " - " * 500, "αΣ" * 99]
+    whole = [L.spectrum(t) for t in texts]
     try:
-        cut = L.spectrum(text)
+        for L.STRETCH in (1, 2, 3, 4, 5, 7, 64, 100, 101):
+            assert all(np.array_equal(L.spectrum(t), w) for t, w in zip(texts, whole, strict=True)), L.STRETCH
     finally:
         L.STRETCH = 1 << 20
-    assert set(whole) <= set(cut)
+
+
+def test_sample_is_bounded_and_null_ids_train(spark):
+    docs = spark.createDataFrame([(None if i % 2 else i, t, lang) for i, t, lang in _docs(200)], "doc_id long, text string, lang string")
+    assert {r.h for r in docs.filter("doc_id IS NULL").select(L.held_out().alias("h")).collect()} == {False}
+    full, less = L.train(docs), L.train(docs, ngrams=3 * 400)
+    assert full.languages == less.languages and len(less.ngrams) <= 3 * 400 < len(L.train(docs, ngrams=1 << 30).ngrams) + 1200
 
 
 def test_identify(spark):

@@ -60,6 +60,23 @@ def test_language_stage_rejects_what_was_not_learned(spark):
         assert kept == {x[0] for x in own if x[0] < 2000}
 
 
+def test_clashing_names_repeated_rows_and_null_ids(spark):
+    docs, _ = _docs(spark)
+    base = docs.filter("doc_id = 100").first().text
+    more = [(100, base, "en", "a", 1), (200, base + " end", "en", "a", 1), (None, base, "en", "a", 1), (None, None, None, None, None), (201, "of the " + base + " " + base.upper() + " word" * 30_000, "en", "a", 1)]
+    own = docs.union(spark.createDataFrame(more, docs.schema))
+    own = own.selectExpr("*", "'p' AS lang_pred", "2.5D AS score", "'w' AS n_words", "'b' AS fail_bits", "7 AS start", "'f' AS findings", "'k' AS kept", "'c' AS component_id", "'h' AS part")
+    kept = own
+    for name, stage in C.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, "/none").collect(), own.schema)
+        assert kept.columns == own.columns, name
+    rows = kept.collect()
+    assert {(r.lang_pred, r.score, r.n_words, r.fail_bits, r.start, r.findings, r.kept, r.component_id, r.part) for r in rows} == {("p", 2.5, "w", "b", 7, "f", "k", "c", "h")}
+    ids = [r.doc_id for r in rows]
+    assert ids.count(100) == 1 and ids.count(None) == 1 and not {101, 102, 200} & set(ids) and set(range(40)) <= set(ids)
+    assert C.STAGES[-1][1](spark, kept, "/none").filter("doc_id IS NULL").count() > 0
+
+
 def test_empty(spark):
     docs = _docs(spark)[0].limit(0)
     for _, stage in C.STAGES:

@@ -96,3 +96,22 @@ def test_long_and_overlapping_values_go_whole(spark, trees):
     one = spark.createDataFrame([(1, "x abcdef-BEGIN k END y BEGIN k END \\\\E.", ["BEGIN k END", "abcdef-BEGIN", "\\\\E."])], "doc_id int, text string, values array<string>")
     found = one.withColumn("findings", F.expr("transform(values, v -> named_struct('value', v))"))
     assert S.clean(found).first().text == f"x {S.MARK} y {S.MARK} {S.MARK}"
+
+
+def test_no_limit_on_length(spark, trees):
+    r = random.Random(6)
+    pick = lambda k: "".join(r.choices(string.ascii_letters + string.digits, k=k))
+    late = "sk-" + "".join(r.choices(string.ascii_letters, k=900)) + "7x9"
+    texts = [f"password={pick(900)} end", f"token: {late} end", "a -----BEGIN RSA PRIVATE KEY-----\n" + pick(64) + "\n" + pick(64) + "\n", f"commit {SECRETS[2]} was fine. later password={SECRETS[2]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {x.doc_id: x.text for x in S.clean(S.scan(docs, trees)).collect()}
+    assert got == {0: f"password={S.MARK} end", 1: f"token: {S.MARK} end", 2: f"a {S.MARK}", 3: f"commit {S.MARK} was fine. later password={S.MARK}"}
+
+
+def test_planted_secrets_are_found(spark, trees):
+    """Recall on the secrets that the test table's documents hold after a secret word or with an issuer's prefix."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = re.compile(r"AKIA[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36}|(?:password|token|secret|api_key)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{16,})")
+    want = {(r.doc_id, m.start(1) if m[1] else m.start()) for r in docs.collect() for m in planted.finditer(r.text or "")}
+    got = {(r.doc_id, r.start) for r in S.scan(docs, trees, every=True).select("doc_id", F.inline("findings")).collect()}
+    assert not want or len(want & got) >= 0.9 * len(want)
