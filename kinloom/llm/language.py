@@ -59,18 +59,19 @@ def _letters() -> np.ndarray:
 
 def spectrum(text: str | None) -> np.ndarray:
     """The distinct n-grams as sorted 64-bit codes, 21 bits a character; empty if there is no letter."""
-    found, last, letters = np.empty(0, dtype=np.int64), np.array([32]), False
+    found, last, letters = None, [32], False
     text = (text or "").lower()
     for at in range(0, len(text), STRETCH):
         a = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), dtype="<u4")
         kind = _letters()[a]
         letters = letters or bool((kind == 2).any())
         end = [32] if at + STRETCH >= len(text) else []
-        c = np.concatenate([last, np.where(kind, a, 32), end]).astype(np.int64)
+        c = np.empty(len(last) + len(a) + len(end), dtype=np.int64)
+        c[: len(last)], c[len(last) : len(last) + len(a)], c[len(last) + len(a) :] = last, np.where(kind, a, 32), end
         c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
         two = (c[:-1] << 21) | c[1:]
         three = (two[:-1] << 21) | c[2:]
-        found = np.unique(np.concatenate([found, c, two, three]))
+        found = np.unique(np.concatenate([c, two, three] if found is None else [found, c, two, three]))
         last = c[-2:]
     return found if letters else np.empty(0, dtype=np.int64)
 
@@ -100,11 +101,12 @@ class Model:
     def decide(self, spectra: list[np.ndarray]) -> np.ndarray:
         """Values of the one-versus-rest machines, a row for each spectrum."""
         where = [_places(self.ngrams, x) for x in spectra]
-        used = np.unique(np.concatenate(where))
         values = np.zeros((len(spectra), len(self.languages)), dtype=np.float32)
-        for low in range(0, len(used), COLUMNS):
-            columns = used[low : low + COLUMNS]
-            values += _presence([_places(columns, x) for x in where], len(columns)) @ self.weights[columns]
+        for low in range(0, len(self.ngrams), COLUMNS):
+            own = self.weights[low : low + COLUMNS]
+            cut = [x[slice(*np.searchsorted(x, (low, low + COLUMNS)))] - low for x in where] if len(self.ngrams) > COLUMNS else where
+            if any(map(len, cut)):
+                values += _presence(cut, len(own)) @ own
         size = np.sqrt(np.maximum([len(x) for x in spectra], 1))[:, None]
         return values / size + self.offset
 
@@ -116,14 +118,15 @@ class Model:
         at = np.minimum(np.searchsorted(self.ngrams, three), len(self.ngrams) - 1)
         return float((self.ngrams[at] == three).mean())
 
-    def predict(self, texts) -> list[tuple[str, float]]:
+    def predict(self, texts) -> list[tuple[str, float, float]]:
+        """Language, score and ``known`` of each text."""
         spectra = [spectrum(t) for t in texts]
         if not self.languages:
-            return [(UNDETERMINED, 0.0)] * len(spectra)
+            return [(UNDETERMINED, 0.0, 0.0)] * len(spectra)
         values = np.concatenate([self.decide(spectra[i : i + ROWS]) for i in range(0, len(spectra), ROWS)])
         best = values.argmax(axis=1)
         score = np.clip((values.max(axis=1) + 1) / 2, 0, 1)
-        return [(self.languages[b], float(s)) if len(x) else (UNDETERMINED, 0.0) for x, b, s in zip(spectra, best, score, strict=True)]
+        return [(self.languages[b], float(s), self.known(x)) if len(x) else (UNDETERMINED, 0.0, 0.0) for x, b, s in zip(spectra, best, score, strict=True)]
 
 
 def fit(spectra: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -204,13 +207,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", known: str | Non
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double" + (", known double" if known else ""))
+    @F.pandas_udf("lang_pred string, score double, known double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = pd.DataFrame(shared.value.predict(batch), columns=["lang_pred", "score"])
-            if known:
-                found["known"] = [shared.value.known(spectrum(t)) for t in batch]
-            yield found
+            yield pd.DataFrame(shared.value.predict(batch), columns=["lang_pred", "score", "known"])
 
     own = {"lang_pred": "lang_pred", "score": "score"} | ({known: "known"} if known else {})
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
