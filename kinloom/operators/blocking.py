@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
 from kinloom.functions import tokens as T
+from kinloom.functions import vocab
 
 
 def _join(*parts) -> Column:
@@ -55,7 +56,6 @@ def _narrow() -> dict[str, list[Column]]:
 
 
 def _wide() -> dict[str, list[Column]]:
-    compound = [_tag("cmp", F.try_element_at("compounds", F.lit(i))) for i in (1, 2, 3, 4)]
     despaced = F.when(F.col("is_domain"), _some(F.col("despaced"), 4))
     j, n = F.col("joined"), F.length("joined")
     pre = lambda k: F.substring(j, F.lit(1), F.lit(k))
@@ -63,7 +63,7 @@ def _wide() -> dict[str, list[Column]]:
     accent = F.translate("full", "àâäçéèêëîïôöùûüñ", "aaaceeeeiioouuun")
     odd = F.filter(T.words("full"), lambda t: t.rlike(r"[^\x00-\x7F]"))
     return {
-        "w_A": [*compound, *_narrow()["B3"]],
+        "w_A": _narrow()["B3"],  # and one for each compound number
         "w_B": [despaced, F.when(F.col("is_domain"), pair_signature("domain_words")), F.when(j != F.col("despaced"), _some(j, 4))],
         "w_C": [pair_signature("s")],
         "w_D": [F.when(n >= 5, F.concat_ws("_", pre(3), suf(3))), F.when(n == 4, pre(4)), _join("lead", F.substring(_at("w", 2), 1, 3))],
@@ -79,7 +79,7 @@ def _serve() -> dict[str, list[Column]]:
 
 
 def _fast() -> dict[str, list[Column]]:
-    words = F.filter(T.words(X.clean_fast("business_name")), lambda t: ~T.among(t, ["the", "a", "an", "and", "of", "for", "in", "on", "at", "to", "co", "inc", "llc", "ltd", "pvt", "corp", "corporation", "limited", "private", "company", "group", "holdings", "services", "solutions", "enterprises"]))
+    words = F.filter(T.words(X.clean_fast("business_name")), lambda t: ~T.among(t, vocab.STOPWORDS["fast"]))
     house = F.regexp_extract("business_address", r"(\d+)", 1)
     return {"X1": [_some(X.clean_fast("business_name"))], "X2": [_join(_at(words, 1), _at(words, 2))], "X3": [_join(_at(words, 1), house)]}
 
@@ -90,9 +90,12 @@ GENERATORS = {"narrow": _narrow, "wide": _wide, "serve": _serve, "fast": _fast}
 def keys(records: DataFrame, generator: str = "serve", blocks: list[str] | None = None) -> DataFrame:
     """entity_id, source, ord, block, key: distinct keys of each record."""
     found = GENERATORS[generator]()
-    listed = [F.when(v.isNotNull(), F.struct(F.lit(b).alias("block"), F.concat_ws("|", "country_key", F.lit(b), v).alias("key"))) for b, values in found.items() if blocks is None or b in blocks for v in values]
+    key = lambda b, v: F.struct(F.lit(b).alias("block"), F.concat_ws("|", "country_key", F.lit(b), v).alias("key"))
+    listed = F.array(*[F.when(v.isNotNull(), key(b, v)) for b, values in found.items() if blocks is None or b in blocks for v in values])
+    if "w_A" in found and (blocks is None or "w_A" in blocks):
+        listed = F.concat(listed, F.transform("compounds", lambda x: F.when(x != "", key("w_A", F.concat(F.lit("cmp_"), x)))))
     # The array isn't a column of its own: a filter on its size would be pushed below the fields and evaluate them anew.
-    return key_fields(records).select("entity_id", "source", "ord", F.inline(F.array_distinct(F.array_compact(F.array(*listed)))))
+    return key_fields(records).select("entity_id", "source", "ord", F.inline(F.array_distinct(F.array_compact(listed))))
 
 
 def prune(keyed: DataFrame, most: int, blocks: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.tokens import parse_ids
+from kinloom.store import keep
 
 
 def header(line: str, expected: tuple[str, str]) -> list[str]:
@@ -22,14 +23,19 @@ def submission(lists: DataFrame, s1: DataFrame, known: DataFrame | None = None,
 
     Errors but for matches outside the candidates, and a missing candidate file, which are warnings.
     """
-    rows = lists.select("s1", parse_ids("ids").alias("ids"))
+    rows = keep(lists.select("s1", parse_ids("ids").alias("ids")), "lists")
     each = rows.select("s1", F.explode("ids").alias("target"))
     count = lambda name, severity, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "n")
+    # Rules of a single row are counted together.
+    such = lambda test: F.coalesce(F.sum(F.size(F.filter("ids", test))), F.lit(0)).cast("long")
+    own = {
+        "repeated ids in a list": F.count_if(F.size(F.array_distinct("ids")) < F.size("ids")),
+        "S1 ids in lists": such(lambda x: F.startswith(x, F.lit("S1-"))),
+        "bad id prefix": such(lambda x: ~x.rlike("^S[123]-")),
+    }
     found = [
         count("duplicate S1 rows", "error", rows.groupBy("s1").count().filter("count > 1")),
-        count("repeated ids in a list", "error", rows.filter(F.size(F.array_distinct("ids")) < F.size("ids"))),
-        count("S1 ids in lists", "error", each.filter(F.startswith("target", F.lit("S1-")))),
-        count("bad id prefix", "error", each.filter(~F.col("target").rlike("^S[123]-"))),
+        rows.agg(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit("error").alias("severity"), n.alias("n")) for name, n in own.items()]).alias("all")).select(F.inline("all")),
         count("missing S1", "error", s1.select("s1").distinct().join(rows.select("s1").distinct(), "s1", "left_anti")),
         count("foreign S1", "error", rows.select("s1").distinct().join(s1.select("s1"), "s1", "left_anti")),
     ]

@@ -116,9 +116,9 @@ def keys_wide_b(spark, sf_dir):
 _S1 = "source = 'S1'"
 
 
-@query("posting_prune", f"WITH {keys_sql(NARROW)} SELECT entity_id, block, key FROM k WHERE source = 'S1' AND key NOT IN (SELECT key FROM k WHERE source = 'S1' GROUP BY key HAVING count(*) > 4)")
+@query("posting_prune", f"WITH {keys_sql(NARROW)} SELECT entity_id, block, key FROM k WHERE source = 'S1' AND key NOT IN (SELECT key FROM k WHERE source = 'S1' GROUP BY key HAVING count(*) > 60)")
 def posting_prune(spark, sf_dir):
-    return B.prune(B.keys(records(spark, sf_dir), "narrow").filter(_S1), 4).select("entity_id", "block", "key")
+    return B.prune(B.keys(records(spark, sf_dir), "narrow").filter(_S1), 60).select("entity_id", "block", "key")
 
 
 @query("candidate_join", f"WITH {pairs_sql(NARROW)} SELECT s1, target, block, key FROM h")
@@ -139,14 +139,14 @@ def block_evidence(spark, sf_dir):
     return _pairs(spark, sf_dir, count="blocks").select("s1", "target", "n_blocks", "blocks")
 
 
-@query("cap_multi_single", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY row_number() OVER (PARTITION BY s1, n_blocks >= 2 ORDER BY target_source, target_ord) <= CASE WHEN n_blocks >= 2 THEN 3 ELSE 1 END")
+@query("cap_multi_single", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY row_number() OVER (PARTITION BY s1, n_blocks >= 2 ORDER BY target_source, target_ord) <= CASE WHEN n_blocks >= 2 THEN 15 ELSE 5 END")
 def cap_multi_single(spark, sf_dir):
-    return B.cap_multi_single(_pairs(spark, sf_dir), 3, 1).select("s1", "target", "n_blocks")
+    return B.cap_multi_single(_pairs(spark, sf_dir), 15, 5).select("s1", "target", "n_blocks")
 
 
-@query("cap_twenty", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY n_blocks >= 2 DESC, target_source, target_ord) <= 4")
+@query("cap_twenty", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY n_blocks >= 2 DESC, target_source, target_ord) <= 20")
 def cap_twenty(spark, sf_dir):
-    return B.cap_total(_pairs(spark, sf_dir), 4).select("s1", "target", "n_blocks")
+    return B.cap_total(_pairs(spark, sf_dir), 20).select("s1", "target", "n_blocks")
 
 
 @query("topk_blocks", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY row_number() OVER (PARTITION BY s1 ORDER BY n_blocks DESC, target) <= 5")
@@ -154,9 +154,9 @@ def topk_blocks(spark, sf_dir):
     return B.top_by_blocks(_pairs(spark, sf_dir), 5).select("s1", "target", "n_blocks")
 
 
-@query("adaptive_topk", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY n_blocks >= 2 OR row_number() OVER (PARTITION BY s1, n_blocks >= 2 ORDER BY target) <= 2")
+@query("adaptive_topk", f"WITH {pairs_sql()} SELECT {_ALL} FROM c QUALIFY n_blocks >= 2 OR row_number() OVER (PARTITION BY s1, n_blocks >= 2 ORDER BY target) <= 10")
 def adaptive_topk(spark, sf_dir):
-    return B.adaptive_top(_pairs(spark, sf_dir), 2).select("s1", "target", "n_blocks")
+    return B.adaptive_top(_pairs(spark, sf_dir), 10).select("s1", "target", "n_blocks")
 
 
 LABELLED = f"{pairs_sql()}, {D.truth()}, l AS (SELECT c.*, CASE WHEN truth.s1 IS NULL THEN 0 ELSE 1 END AS label FROM c LEFT JOIN truth USING (s1, target))"
@@ -174,15 +174,15 @@ def label_pairs(spark, sf_dir):
 
 @query(
     "hard_negatives",
-    f"WITH {LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY s1, label ORDER BY n_blocks DESC, target_source, target_ord) AS k, max(label) OVER (PARTITION BY s1) AS known FROM l) SELECT s1, target, n_blocks, label FROM r WHERE label = 1 OR k <= CASE WHEN known = 1 THEN 4 ELSE 2 END",
+    f"WITH {LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY s1, label ORDER BY n_blocks DESC, target_source, target_ord) AS k, max(label) OVER (PARTITION BY s1) AS known FROM l) SELECT s1, target, n_blocks, label FROM r WHERE label = 1 OR k <= CASE WHEN known = 1 THEN 20 ELSE 10 END",
 )
 def hard_negatives(spark, sf_dir):
-    return B.hard_negatives(_labelled(spark, sf_dir), 4).select("s1", "target", "n_blocks", "label")
+    return B.hard_negatives(_labelled(spark, sf_dir), 20).select("s1", "target", "n_blocks", "label")
 
 
-@query("first_negatives", f"WITH {LABELLED} SELECT s1, target, label FROM l QUALIFY label = 1 OR row_number() OVER (PARTITION BY s1, label ORDER BY target_source, target_ord) <= 3")
+@query("first_negatives", f"WITH {LABELLED} SELECT s1, target, label FROM l QUALIFY label = 1 OR row_number() OVER (PARTITION BY s1, label ORDER BY target_source, target_ord) <= 50")
 def first_negatives(spark, sf_dir):
-    return B.first_negatives(_labelled(spark, sf_dir), 3).select("s1", "target", "label")
+    return B.first_negatives(_labelled(spark, sf_dir), 50).select("s1", "target", "label")
 
 
 @query("md5_split", f"WITH {D.rec()} SELECT entity_id, (('0x' || substr(md5(entity_id), 1, 8))::UBIGINT % 10)::BIGINT AS bucket FROM rec")
@@ -476,7 +476,7 @@ def candidate_stats(spark, sf_dir):
     return _rounded(evaluate.candidate_stats(_s1(spark, sf_dir), _pairs(spark, sf_dir), truth_pairs(records(spark, sf_dir))), ("mean", "p95", "p99", "recall"))
 
 
-_GRID = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+_GRID = [round(0.3 + 0.02 * i, 2) for i in range(31)]
 _SWEEP = f"""{SCORED}, {_TRUTHFUL}, q AS (SELECT unnest({_GRID}) AS threshold), tn AS (SELECT e.s1, count(truth.target) AS n FROM e LEFT JOIN truth USING (s1) GROUP BY ALL),
 y AS (SELECT threshold, tn.s1, n, count(s.target) FILTER (s.label = 1) AS tp, count(s.target) FILTER (s.label = 0) AS fp FROM q CROSS JOIN tn LEFT JOIN s ON s.s1 = tn.s1 AND round(s.score, 9) >= threshold GROUP BY ALL),
 sw AS (SELECT threshold, avg(CASE WHEN n = 0 THEN CASE WHEN fp = 0 THEN 1.0 ELSE 0.0 END WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * (n - tp) + fp) END)::DOUBLE AS macro_f05, coalesce(sum(tp) / nullif(sum(tp + fp), 0), 0)::DOUBLE AS pair_precision, coalesce(sum(tp) / nullif(sum(n), 0), 0)::DOUBLE AS pair_recall,
