@@ -168,14 +168,15 @@ def locality(address) -> Column:
 
 
 def coordinates(address, country_name) -> Column:
-    """(lat, lng) of the first listed place in the address, else of the country, else zeros."""
-    low, out = F.lower(_c(address)), None
+    """(lat, lng) of the first listed place in the address, else of the country, else zeros; a null address is in no place."""
+    low = F.lower(F.coalesce(_c(address), F.lit("")))
     pair = lambda a, b: F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lng"))
-    for place, lat, lng in vocab.PLACES:
-        out = (F if out is None else out).when(F.contains(low, F.lit(place)), pair(lat, lng))
+    listed = F.array(*[F.struct(F.lit(place).alias("place"), pair(lat, lng).alias("at")) for place, lat, lng in vocab.PLACES])
+    centre = None
     for name, lat, lng in vocab.COUNTRY_CENTRES:
-        out = out.when(_c(country_name) == name, pair(lat, lng))
-    return out.otherwise(pair(0.0, 0.0))
+        centre = (F if centre is None else centre).when(_c(country_name) == name, pair(lat, lng))
+    # The table is one constant that the search runs over, not a branch of code for each place.
+    return F.coalesce(F.try_element_at(F.filter(listed, lambda p: F.contains(low, p["place"])), F.lit(1))["at"], centre, pair(0.0, 0.0))
 
 
 def fix_typos(x) -> Column:

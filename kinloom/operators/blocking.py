@@ -27,6 +27,11 @@ def _at(a, i: int) -> Column:
     return F.coalesce(F.try_element_at(F.col(a) if isinstance(a, str) else a, F.lit(i)), F.lit(""))
 
 
+def _linked(a: str, between: str, b: str) -> Column:
+    """The two with ``between`` in the middle; null if one is empty."""
+    return F.when((F.col(a) != "") & (F.col(b) != ""), F.concat(F.col(a), F.lit(between), F.col(b)))
+
+
 def _some(x: Column, least: int = 1) -> Column:
     return F.when(F.length(x) >= least, x)
 
@@ -41,12 +46,13 @@ def pair_signature(words) -> Column:
     return F.when(b != "", F.concat_ws("_", a, b)).otherwise(_some(a, 3))
 
 
-def key_fields(records: DataFrame) -> DataFrame:
-    """The fields that keys are built from: w (name words), a (address alphas), n (numbers), and others."""
-    df = records.withColumns({"country_key": X.country("country"), "full": X.norm_name("business_name"), "line": X.norm_name(X.strip_address_prefix("business_address"))})
+def key_fields(records: DataFrame, mode: str = "nfkd") -> DataFrame:
+    """The fields that keys are built from: w (name words), a (address alphas), n (numbers), and others; ``mode`` as in ``text.fold``."""
+    df = records.withColumns({"folded_name": X.fold("business_name", mode), "folded_address": X.fold("business_address", mode)})
+    df = df.withColumns({"country_key": X.country("country"), "full": X.norm_name("folded_name"), "line": X.norm_name(X.strip_address_prefix("folded_address"))})
     df = df.withColumns({"w": T.name_words("full"), "s": T.structural("full"), "t": T.words("line"), "compounds": X.compound_numbers("business_address")})
-    bare = X.strip_domain("business_name")
-    df = df.withColumns({"a": T.localities("t", "v1"), "n": T.numbers("t"), "domain_words": X.domain_words(bare), "is_domain": bare != F.col("business_name"), "despaced": F.regexp_replace(X.norm_name(bare), " ", "")})
+    bare = X.strip_domain("folded_name")
+    df = df.withColumns({"a": T.localities("t", "v1"), "n": T.numbers("t"), "domain_words": X.domain_words(bare), "is_domain": bare != F.col("folded_name"), "despaced": F.regexp_replace(X.norm_name(bare), " ", "")})
     return df.withColumns({"n0": _at("n", 1), "a0": _at("a", 1), "a9": _at("a", -1), "lead": _at("w", 1), "postal": _at(T.postals("n"), 1), "building": _at(T.buildings("n"), 1), "cmp0": _at("compounds", 1), "joined": F.array_join("s", "")})
 
 
@@ -60,7 +66,7 @@ def _wide() -> dict[str, list[Column]]:
     j, n = F.col("joined"), F.length("joined")
     pre = lambda k: F.substring(j, F.lit(1), F.lit(k))
     suf = lambda k: F.substring(j, n - k + 1, F.lit(k))
-    accent = F.translate("full", "àâäçéèêëîïôöùûüñ", "aaaceeeeiioouuun")
+    accent = X.norm_name("unmarked")
     odd = F.filter(T.words("full"), lambda t: t.rlike(r"[^\x00-\x7F]"))
     return {
         "w_A": _narrow()["B3"],  # and one for each compound number
@@ -73,6 +79,21 @@ def _wide() -> dict[str, list[Column]]:
     }
 
 
+def _pairing() -> dict[str, list[Column]]:
+    """The wide blocks as labelled pairs are made with: A to C as there, and D to G in other forms."""
+    core, name = _at("s", 1), F.col("business_name")
+    long = F.length(core) >= 4
+    indic = F.substring(F.regexp_replace(name, r"[^\p{L}\p{M}\p{N}]", ""), 1, 6)
+    latin = T.words(X.norm_name("unmarked"))
+    some_indic = name.rlike(r"[\u0900-\u0D7F]")
+    return {b: columns for b, columns in _wide().items() if b in ("w_A", "w_B", "w_C")} | {
+        "p_D": [_tag("pre", F.when(long, F.substring(core, 1, 3))), _tag("suf", F.when(long, F.substring(core, -3, 3)))],
+        "p_E": [_tag("p", _linked("postal", "_b_", "building")), _tag("p", _linked("postal", "_a_", "a0")), _tag("b", _linked("building", "_a_", "a0"))],
+        "p_F": [_join("cmp0", "postal"), _join("cmp0", "a0")],
+        "p_G": [_tag("indic", F.when(some_indic, _some(indic, 3))), _tag("lat", F.when(~some_indic & name.rlike(r"[^\x00-\x7F]"), _join(_at(latin, 1), _at(latin, 2))))],
+    }
+
+
 def _serve() -> dict[str, list[Column]]:
     compact = X.compact("full")
     return _narrow() | {"s_BA": [_some(compact, 5), F.when(X.ocr(compact) != compact, _some(X.ocr(compact), 5))], "s_BC": [_join("building", "postal")]}
@@ -84,18 +105,24 @@ def _fast() -> dict[str, list[Column]]:
     return {"X1": [_some(X.clean_fast("business_name"))], "X2": [_join(_at(words, 1), _at(words, 2))], "X3": [_join(_at(words, 1), house)]}
 
 
-GENERATORS = {"narrow": _narrow, "wide": _wide, "serve": _serve, "fast": _fast}
+GENERATORS = {"narrow": _narrow, "wide": _wide, "pairing": _pairing, "serve": _serve, "fast": _fast}
 
 
 def keys(records: DataFrame, generator: str = "serve", blocks: list[str] | None = None) -> DataFrame:
-    """entity_id, source, ord, block, key: distinct keys of each record."""
+    """entity_id, source, ord, block, key: distinct keys of each record.
+
+    Text is folded as the generator's profile does: ``serve`` drops Latin accents, the others decompose.
+    """
     found = GENERATORS[generator]()
+    fields = key_fields(records, "latin" if generator == "serve" else "nfkd")
+    if generator in ("wide", "pairing"):
+        fields = fields.withColumn("unmarked", X.fold("business_name", "marks"))
     key = lambda b, v: F.struct(F.lit(b).alias("block"), F.concat_ws("|", "country_key", F.lit(b), v).alias("key"))
     listed = F.array(*[F.when(v.isNotNull(), key(b, v)) for b, values in found.items() if blocks is None or b in blocks for v in values])
     if "w_A" in found and (blocks is None or "w_A" in blocks):
         listed = F.concat(listed, F.transform("compounds", lambda x: F.when(x != "", key("w_A", F.concat(F.lit("cmp_"), x)))))
     # The array isn't a column of its own: a filter on its size would be pushed below the fields and evaluate them anew.
-    return key_fields(records).select("entity_id", "source", "ord", F.inline(F.array_distinct(F.array_compact(listed))))
+    return fields.select("entity_id", "source", "ord", F.inline(F.array_distinct(F.array_compact(listed))))
 
 
 def prune(keyed: DataFrame, most: int, blocks: list[str] | None = None) -> DataFrame:

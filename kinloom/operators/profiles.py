@@ -1,7 +1,9 @@
 """Record profiles: every derived field of a record, computed once and before any join.
 
 ``profile_v1`` has the fields that the first feature set needs, ``profile_v2`` those of the second one,
-with the ``train`` or ``serve`` word lists. Missing values are empty strings, never null.
+with the ``train`` or ``serve`` word lists. Missing values are empty strings, never null. Names and
+addresses are folded first (v1 decomposes, so that a mark parts a word; v2 drops Latin accents);
+``unicode=False`` is for tables known to be ASCII.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ def _folded(c, unicode: bool, mode: str):
     return X.fold(c, mode) if unicode else F.col(c)
 
 
-def profile_v1(records: DataFrame, unicode: bool = False) -> DataFrame:
+def profile_v1(records: DataFrame, unicode: bool = True) -> DataFrame:
     """name, name_words, name_grams, alnum, first, address, address_words, numbers, localities and the raw fields."""
     df = _base(records)
     df = df.withColumns({"name": X.norm_name(X.strip_domain(_folded("business_name", unicode, "nfkd"))), "address": X.norm_name(X.strip_address_prefix(_folded("business_address", unicode, "nfkd")))})
@@ -42,7 +44,7 @@ def profile_v1(records: DataFrame, unicode: bool = False) -> DataFrame:
     )
 
 
-def profile_v2(records: DataFrame, words: str = "serve", unicode: bool = False) -> DataFrame:
+def profile_v2(records: DataFrame, words: str = "serve", unicode: bool = True) -> DataFrame:
     """The second profile: names, signatures, address parts, script, lengths and the sets that features compare."""
     df = _base(records)
     plain = X.former_name(X.strip_domain(_folded("business_name", unicode, "latin")))

@@ -50,12 +50,19 @@ _COMPACT = r"regexp_replace(full_name, '[^\p{L}\p{N}]', '', 'g')"
 _OCR = f"translate({_COMPACT}, '01358@$', 'olesbas')"
 _ACC = D.words("translate(full_name, 'àâäçéèêëîïôöùûüñ', 'aaaceeeeiioouuun')")
 _ODD = r"list_filter(allw, lambda x: regexp_matches(x, '[^\x00-\x7F]'))"
+#: Names behind domains are in lower case, so the pattern's look-ahead, which this engine lacks, has nothing to do.
+_DOMAIN_WORDS = rf"list_filter(list_transform(regexp_extract_all(bare, '[A-Z]?[a-z]+|\d+'), lambda t: lower(t)), lambda t: length(t) >= 2 AND NOT list_contains({D.listed(vocab.STOPWORDS['base'])}, t))"
 KEYS = {
     "B1": ["CASE WHEN length(full_name) >= 1 THEN full_name END"],
     "B2": [_sig("w")],
     "B3": _B3,
     "B4": [_j("ld", "n0"), _j("ld", "a0")],
     "w_A": [*[_t("cmp", f"comps[{i}]") for i in (1, 2, 3, 4)], *_B3],
+    "w_B": [
+        "CASE WHEN is_domain AND length(despaced) >= 4 THEN despaced END",
+        f"CASE WHEN is_domain THEN {_sig(f'({_DOMAIN_WORDS})')} END",
+        "CASE WHEN joined <> despaced AND length(joined) >= 4 THEN joined END",
+    ],
     "w_C": [_sig("s")],
     "w_D": [
         "CASE WHEN length(joined) >= 5 THEN concat_ws('_', substr(joined, 1, 3), substr(joined, length(joined) - 2, 3)) END",
@@ -65,6 +72,9 @@ KEYS = {
     "w_E": ["CASE WHEN postal <> '' AND bldg <> '' THEN 'p_' || postal || '_b_' || bldg END", _t("pa", _j("postal", "a0")), _t("ba", _j("bldg", "a9"))],
     "w_F": [_j("n0", "a0", "a9"), _t("cmp", _j("cmp0", "a9")), _t("pba", _j("postal", "bldg", "a0"))],
     "w_G": [_t("acc", _sig(f"({_ACC})")), _t("uni", _sig(f"({_ODD})"))],
+    "p_D": [_t("pre", "CASE WHEN length(s[1]) >= 4 THEN substr(s[1], 1, 3) END"), _t("suf", "CASE WHEN length(s[1]) >= 4 THEN right(s[1], 3) END")],
+    "p_E": ["CASE WHEN postal <> '' AND bldg <> '' THEN 'p_' || postal || '_b_' || bldg END", "CASE WHEN postal <> '' AND a0 <> '' THEN 'p_' || postal || '_a_' || a0 END", "CASE WHEN bldg <> '' AND a0 <> '' THEN 'b_' || bldg || '_a_' || a0 END"],
+    "p_F": [_j("cmp0", "postal"), _j("cmp0", "a0")],
     "s_BA": [f"CASE WHEN length({_COMPACT}) >= 5 THEN {_COMPACT} END", f"CASE WHEN {_OCR} <> {_COMPACT} AND length({_OCR}) >= 5 THEN {_OCR} END"],
     "s_BC": [_j("bldg", "postal")],
     "X1": ["nullif(trim(regexp_replace(lower(business_name), '[^a-z0-9 ]', ' ', 'g')), '')"],
@@ -102,15 +112,14 @@ for _b in NARROW:
     _keys(f"keys_{_b.lower()}", "narrow", [_b])
 for _b in WIDE:
     _keys(f"keys_wide_{_b[-1].lower()}", "wide", [_b])
+for _b in ("p_D", "p_E", "p_F"):
+    _keys(f"keys_pairing_{_b[-1].lower()}", "pairing", [_b])
 _keys("keys_serve_ba", "serve", ["s_BA"])
 _keys("keys_serve_bc", "serve", ["s_BC"])
 _keys("keys_fast", "fast", ["X1", "X2", "X3"])
 
 
-@query("keys_wide_b")
-def keys_wide_b(spark, sf_dir):
-    """Its words come from a pattern with look-ahead, which the oracle's engine lacks."""
-    return B.keys(records(spark, sf_dir), "wide", ["w_B"]).select("entity_id", "block", "key")
+_keys("keys_wide_b", "wide", ["w_B"])
 
 
 _S1 = "source = 'S1'"

@@ -227,6 +227,28 @@ def evidence(spark, sf_dir):
     return explain.evidence(sources(spark, sf_dir))
 
 
+_ASKING = "CASE WHEN ord % 5 = 0 THEN concat('record s1-', ord - CASE WHEN ord % 10 = 0 THEN 1 ELSE 0 END) ELSE business_name END"
+_COPIES = _EV.replace("b.business_name, b.business_address, round(", "a.business_name, a.business_address, round(")
+
+
+@query(
+    "entity_search",
+    f"""WITH {_COPIES}, au AS (SELECT entity_id AS query, {_ASKING} AS text FROM rec WHERE source = 'S2'), di AS (SELECT query, upper(regexp_extract(text, '(?i)\\b(S1-\\d+)\\b', 1)) AS doc FROM au WHERE upper(regexp_extract(text, '(?i)\\b(S1-\\d+)\\b', 1)) IN (SELECT entity_id FROM rec WHERE source = 'S1')),
+    {_bm25_sql(_ONE, f"SELECT query, unnest(list_distinct({_Q.format('text')})) AS q FROM au WHERE query NOT IN (SELECT query FROM di)")},
+    rr AS (SELECT query, doc, score, overall AS confidence, row_number() OVER (PARTITION BY query ORDER BY overall DESC, name_similarity, rank) AS rank FROM tp JOIN ev ON ev.canonical_id = tp.doc WHERE rank <= 45)
+    SELECT * FROM rr WHERE rank <= 15 UNION ALL SELECT query, doc, 1.0, overall, 1 FROM di JOIN ev ON ev.canonical_id = di.doc""",
+)
+def entity_search(spark, sf_dir):
+    """Search by id or words, ranked by the evidence of as many copies of an entity as it has sources."""
+    r = records(spark, sf_dir)
+    one = r.filter("source = 'S1'")
+    asked = r.filter("source = 'S2'").selectExpr("entity_id", f"{_ASKING} AS text")
+    postings = search.index(one, "entity_id", ["entity_id", "business_name", "business_address", "country"])
+    copies = sources(spark, sf_dir).withColumns({"raw_name": F.col("name"), "raw_address": F.col("address")})
+    found = search.ask(asked, "entity_id", "text", one, postings, explain.evidence(copies))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("conflict_radar", f"WITH {_CF} SELECT * FROM cf")
 def conflict_radar(spark, sf_dir):
     return explain.conflicts(evidence(spark, sf_dir))

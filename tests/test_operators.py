@@ -1,11 +1,13 @@
 """Metrics, rules, validation, search, review and readers on written cases."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import blocking, decide, evaluate, explain, geo, model, review, search, validate
+from kinloom.functions import text
+from kinloom.operators import blocking, decide, evaluate, explain, geo, model, profiles, review, search, validate
 from kinloom.sources import readers, sinks
 
 
@@ -151,3 +153,48 @@ def test_model(spark):
     truth = rows.filter("label = 1").select("s1", "target")
     out = model.ablation(rows, {"both": ["a", "b"], "one": ["b"]}, rows.select("s1").distinct(), truth, [0.3, 0.5], trees=2, depth=2).collect()
     assert {r.model: r.n_features for r in out} == {"both": 2, "one": 1}
+
+
+def test_folded_keys(spark):
+    """Names that aren't ASCII: keys of each generator beside the standard library's decomposition."""
+    names = ["Société Générale", "Café Zürich SARL", "हिन्दी भवन", "Ångström Ünit", "ﬁne Straße", "", None]
+    rows = [(f"S2-{i}", "S2", i, n, "12/034 Allée Fleury, 75001 Paris", "France") for i, n in enumerate(names)]
+    records = spark.createDataFrame(rows, "entity_id string, source string, ord long, business_name string, business_address string, country string")
+
+    def plain(s):
+        return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in "_ " else " " for c in s).lower().split())
+
+    decomposed = lambda s: unicodedata.normalize("NFKD", s)
+    latin = lambda s: unicodedata.normalize("NFKC", "".join(c for c in decomposed(s) if not "\u0300" <= c <= "\u036f"))
+    unmarked = lambda s: "".join(c for c in decomposed(s) if not unicodedata.combining(c))
+    for generator, how in (("narrow", decomposed), ("serve", latin)):
+        found = {r.entity_id: r.key for r in blocking.keys(records, generator, ["B1"]).collect()}
+        assert found == {f"S2-{i}": f"FRANCE|B1|{plain(how(n))}" for i, n in enumerate(names) if n}
+    found = {r.entity_id: r.key for r in blocking.keys(records, "pairing", ["p_G"]).collect()}
+    wanted = {}
+    for i, n in enumerate(names):
+        if n and any("\u0900" <= c <= "\u0d7f" for c in n):
+            wanted[f"S2-{i}"] = "FRANCE|p_G|indic_" + "".join(c for c in n if unicodedata.category(c)[0] in "LMN")[:6]
+        elif n and not n.isascii() and len(plain(unmarked(n)).split()) >= 2:
+            wanted[f"S2-{i}"] = "FRANCE|p_G|lat_" + "_".join(plain(unmarked(n)).split()[:2])
+    assert found == wanted
+    assert profiles.profile_v2(records).filter("entity_id = 'S2-0'").first().name == "societe generale"
+    assert profiles.profile_v1(records).filter("entity_id = 'S2-0'").first().name == "socie te ge ne rale"
+
+
+def test_all_compounds_give_keys(spark):
+    records = spark.createDataFrame([("S2-1", "S2", 1, "x", "1/2 3-4 5_6 7/08 9/10 11/12", "US")], "entity_id string, source string, ord long, business_name string, business_address string, country string")
+    found = {r.key for r in blocking.keys(records, "pairing", ["w_A"]).collect()}
+    assert found == {f"US|w_A|cmp_{c}" for c in ("1_2", "3_4", "5_6", "7_8", "9_10", "11_12")}
+
+
+def test_places(spark):
+    rows = [("5 Rue X, Nouvelle-Aquitaine", "France"), ("Navi Mumbai", "India"), ("Iowa City", "US"), ("nowhere", "France"), (None, "US"), ("nowhere", None)]
+    at = spark.createDataFrame(rows, "address string, country string").select(text.coordinates("address", "country").alias("at"))
+    assert [tuple(r["at"]) for r in at.collect()] == [(45.2444, 0.1772), (19.0760, 72.8777), (41.6611, -91.5302), (46.2276, 2.2137), (37.0902, -95.7129), (0.0, 0.0)]
+
+
+def test_search_by_id(spark):
+    entities = spark.createDataFrame([("S1-1",), ("S1-22",)], "entity_id string")
+    asked = spark.createDataFrame([("a", "show s1-22, please"), ("b", "S1-9"), ("c", "xS1-1"), ("d", None), ("e", "S1-1 or S1-22")], "id string, text string")
+    assert sorted(tuple(r) for r in search.named(asked, "id", "text", entities).collect()) == [("a", "S1-22"), ("e", "S1-1")]
