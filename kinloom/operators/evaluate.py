@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.store import keep
+
+#: Cells of scores, each of which one task orders.
+CELLS = 256
+
 
 def blocking_metrics(s1: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Per strategy: candidates, their mean, median and largest number per S1, S1 without any, pair and entity recall.
@@ -119,15 +124,29 @@ def sweep(s1: DataFrame, scored: DataFrame, truth: DataFrame, thresholds: list[f
     )
 
 
-def curve(scored: DataFrame) -> DataFrame:
-    """score, tp, fp, positives: cumulated from the highest score down, one row for each distinct score.
+def _steps(scored: DataFrame) -> DataFrame:
+    """``curve`` and, for each score, its own positives and negatives (pos, neg).
 
-    Scores are first counted, so the ordered window runs over distinct scores only.
+    Scores are first counted, then dealt to cells at approximate quantiles of the distinct ones. A window runs within
+    each cell; what stands above a cell comes from the cells' totals, at most ``CELLS`` rows. Null scores come last; a null label is a negative.
     """
-    counts = scored.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return counts.select("score", F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"), F.sum("pos").over(every).alias("positives"))
+    label = F.coalesce("label", F.lit(0))
+    counts = keep(scored.groupBy("score").agg(F.sum(label).alias("pos"), F.count_if(label == 0).alias("neg")), "scores")
+    score = F.col("score").cast("double")
+    cuts = counts.agg(F.percentile_approx(score, [i / CELLS for i in range(1, CELLS)], 4 * CELLS)).first()[0] or []
+    dealt = counts.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda x: x < score)))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("cell").agg(F.sum("pos").alias("cell_pos"), F.sum("neg").alias("cell_neg"))
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    heads = totals.select("cell", before("cell_pos").alias("tp_above"), before("cell_neg").alias("fp_above"), F.sum("cell_pos").over(Window.partitionBy()).alias("positives"))
+    down = Window.partitionBy("cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(F.broadcast(heads), "cell")
+    return placed.select("score", "pos", "neg", (F.sum("pos").over(down) + F.col("tp_above")).alias("tp"), (F.sum("neg").over(down) + F.col("fp_above")).alias("fp"), "positives")
+
+
+def curve(scored: DataFrame) -> DataFrame:
+    """score, tp, fp, positives: cumulated from the highest score down, one row for each distinct score."""
+    return _steps(scored).select("score", "tp", "fp", "positives")
 
 
 def best_f1(scored: DataFrame) -> DataFrame:
@@ -140,11 +159,10 @@ def best_f1(scored: DataFrame) -> DataFrame:
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: average precision, and ROC area by the trapezium rule; 0 where a class is missing."""
-    w = Window.orderBy(F.desc("score"))
-    c = curve(scored).withColumns({"tp0": F.coalesce(F.lag("tp").over(w), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(w), F.lit(0))})
-    ap = F.sum(F.when(F.col("positives") > 0, (F.col("tp") - F.col("tp0")) / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    c = _steps(scored)
+    ap = F.sum(F.when(F.col("positives") > 0, F.col("pos") / F.col("positives") * F.col("tp") / (F.col("tp") + F.col("fp"))))
     size = F.max("positives") * F.max("fp")
-    area = F.when(size > 0, F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0) / size)
+    area = F.when(size > 0, F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0) / size)
     return c.agg(F.coalesce(ap, F.lit(0.0)).alias("average_precision"), F.coalesce(area, F.lit(0.0)).alias("roc_auc"))
 
 

@@ -198,3 +198,28 @@ def test_search_by_id(spark):
     entities = spark.createDataFrame([("S1-1",), ("S1-22",)], "entity_id string")
     asked = spark.createDataFrame([("a", "show s1-22, please"), ("b", "S1-9"), ("c", "xS1-1"), ("d", None), ("e", "S1-1 or S1-22")], "id string, text string")
     assert sorted(tuple(r) for r in search.named(asked, "id", "text", entities).collect()) == [("a", "S1-22"), ("e", "S1-1")]
+
+
+@pytest.mark.parametrize(("cells", "n", "digits"), [(2, 300, 1), (16, 2000, 17), (256, 40, 17), (256, 5, 0)])
+def test_curve_in_cells(spark, monkeypatch, cells, n, digits):
+    """Cumulated counts over cells of scores are those of one sorted pass, with ties and without."""
+    import random
+
+    monkeypatch.setattr(evaluate, "CELLS", cells)
+    r = random.Random(n)
+    rows = [(round(r.random(), digits), int(r.random() < 0.3)) for _ in range(n)]
+    scored = spark.createDataFrame(rows, "score double, label int")
+    want, positives = [], sum(label for _, label in rows)
+    for s in sorted({s for s, _ in rows}):
+        above = [label for t, label in rows if t >= s]
+        want.append((s, sum(above), len(above) - sum(above), positives))
+    assert sorted(tuple(x) for x in evaluate.curve(scored).collect()) == want
+    down, area, ap, last = want[::-1], 0.0, 0.0, (0, 0)
+    for _, tp, fp, _ in down:
+        area += (fp - last[1]) * (tp + last[0]) / 2
+        ap += (tp - last[0]) / positives * tp / (tp + fp) if positives else 0
+        last = (tp, fp)
+    got = evaluate.average_precision(scored).first()
+    size = positives * (n - positives)
+    assert got.average_precision == pytest.approx(ap)
+    assert got.roc_auc == pytest.approx(area / size if size else 0)
