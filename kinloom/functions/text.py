@@ -59,12 +59,13 @@ def clean_fast(x) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9 ]", " "))
 
 
-def strip_domain(x, ends=tuple(vocab.DOMAIN_ENDS)) -> Column:
-    """Without scheme, ``www.`` and the domain's end with any path; text without a dot and www stays."""
+def strip_domain(x, ends=tuple(vocab.DOMAIN_ENDS), slash: bool = False) -> Column:
+    """Without scheme, ``www.`` and the domain's end with any path; text without a dot and www (and, with ``slash``, a slash) stays."""
     x = _c(x)
+    ends = [e.replace(".", r"\.") for e in ends]
     inner = F.regexp_replace(x, r"(?i)^(?:https?://)?(?:www\.)?", "")
     inner = F.regexp_replace(inner, rf"(?i)\.(?:{'|'.join(ends)})(?:/.*)?$", "")
-    return F.when(F.instr(x, ".").eqNullSafe(0) & (F.instr(F.lower(x), "www") == 0), x).otherwise(inner)
+    return F.when(F.instr(x, ".").eqNullSafe(0) & (F.instr(F.lower(x), "www") == 0) & (F.lit(not slash) | (F.instr(x, "/") == 0)), x).otherwise(inner)
 
 
 def domain_words(x) -> Column:
@@ -86,6 +87,13 @@ def compound_numbers(x) -> Column:
     return F.transform(found, lambda t: F.array_join(F.transform(F.split(t, r"[/_-]"), norm_number), "_"))
 
 
+def compound_numbers_early(x) -> Column:
+    """``12/034A`` and the like as ``12/034A``, ``010-2`` as ``10/2``; only of text with a slash or a hyphen."""
+    x = _c(x)
+    found = F.regexp_extract_all(x, F.lit(r"\b(\d+[/_-]\d+[a-zA-Z]?)\b"), F.lit(1))
+    return F.when(x.rlike("[/-]"), F.transform(found, lambda t: F.array_join(F.transform(F.split(t, r"[/_-]"), norm_number), "/"))).otherwise(F.array().cast("array<string>"))
+
+
 def strip_address_prefix(x, french: bool = False) -> Column:
     return F.regexp_replace(_c(x), "(?i)" + (vocab.ADDRESS_PREFIX_FRENCH if french else vocab.ADDRESS_PREFIX), " ")
 

@@ -32,8 +32,8 @@ def meaningful(x, version: str = "serve") -> Column:
     return F.filter(words(x), lambda t: ~among(t, [*vocab.STOPWORDS[version], *vocab.SUFFIXES[version], *vocab.PREFIXES[version]]) & (F.length(t) >= 2))
 
 
-def structural(x, version: str = "v1") -> Column:
-    """Leading prefixes and trailing suffixes taken off; if no word of two letters is left, the trimmed words."""
+def structural(x, version: str = "v1", least: int = 2) -> Column:
+    """Leading prefixes and trailing suffixes taken off; if no unlisted word of ``least`` letters is left, the trimmed words."""
     front, back = [*vocab.PREFIXES[version], *vocab.STOPWORDS[version]], [*vocab.SUFFIXES[version], *vocab.STOPWORDS[version]]
     # A fold over the words: out has what stands between the first word that isn't in front and the last that isn't in back.
     start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("tail"), F.lit(False).alias("on"))
@@ -47,7 +47,7 @@ def structural(x, version: str = "v1") -> Column:
     listed = [*front, *vocab.SUFFIXES[version]]
 
     def choose(acc):
-        kept = F.filter(acc["out"], lambda t: ~among(t, listed) & (F.length(t) >= 2))
+        kept = F.filter(acc["out"], lambda t: ~among(t, listed) & (F.length(t) >= least))
         return F.when(F.size(kept) == 0, acc["out"]).otherwise(kept)
 
     return F.aggregate(words(x), start, step, choose)
@@ -66,9 +66,9 @@ def buildings(tokens) -> Column:
     return F.filter(numbers(tokens), lambda t: F.length(t) <= 4)
 
 
-def localities(tokens, version: str = "serve") -> Column:
+def localities(tokens, version: str = "serve", least: int = 3) -> Column:
     listed = [*vocab.GENERIC_ADDRESS[version], *vocab.STOPWORDS[version]]
-    return F.filter(_c(tokens), lambda t: t.rlike(r"^\p{L}+$") & (F.length(t) >= 3) & ~among(t, listed))
+    return F.filter(_c(tokens), lambda t: t.rlike(r"^\p{L}+$") & (F.length(t) >= least) & ~among(t, listed))
 
 
 def first_of(a, fallback=None) -> Column:

@@ -1,6 +1,6 @@
 """Word lists and patterns of the record normalisers, by version.
 
-``v1`` serves the first profile, ``train`` and ``serve`` the two forms of the second one, ``fast`` the
+``early`` serves the 33-feature profile, ``v1`` the one after it, ``train`` and ``serve`` the two forms of the second one, ``fast`` the
 rule-only path. The lists differ on purpose; results depend on which one a profile uses.
 """
 
@@ -14,12 +14,18 @@ STOPWORDS = {
     "fast": "the a an and of for in on at to co inc llc ltd pvt corp corporation limited private company group holdings services solutions enterprises".split(),
 }
 STOPWORDS["train"] = STOPWORDS["serve"]
+STOPWORDS["early"] = "the a an and of for in on at to by with from m s ms co".split()
 PREFIXES = {
+    "early": "dr shri smt m/s ms mr mrs shree sri prof messrs c/o d/o s/o w/o md ca adv formerly aka a/k/a fka f/k/a dba d/b/a".split(),
     "v1": "dr shri smt m/s ms mr mrs shree sri prof messrs c/o d/o s/o w/o md ca adv".split(),
     "serve": "dr doctor shri smt m/s ms mr mrs shree sri prof professor messrs c/o d/o s/o w/o md ca adv me maitre docteur monsieur madame".split(),
 }
 PREFIXES["train"] = PREFIXES["serve"]
 SUFFIXES = {
+    "early": (
+        "inc incorporated llc ltd limited corp corporation pvt private enterprises enterprise company group holdings holding services solutions associates associate technologies tech sarl sa gmbh llp pllc co sons "
+        "industries industry intl international corp. inc. ltd."
+    ).split(),
     "base": "inc llc corp corporation ltd limited pvt private enterprises enterprise company group holdings services solutions associates technologies tech sarl sa gmbh llp".split(),
     "v1": "inc incorporated llc corp corporation ltd limited pvt private enterprises enterprise company group holdings services solutions associates technologies tech sarl sa gmbh llp pllc co sons".split(),
     "serve": "inc incorporated llc corp corporation ltd limited pvt private enterprises enterprise company group holdings services solutions associates technologies tech sarl sa sasu eurl sci snc gmbh llp pllc co sons".split(),
@@ -29,6 +35,10 @@ SUFFIXES = {
     ).split(),
 }
 GENERIC_ADDRESS = {
+    "early": (
+        "st street rd road ave avenue dr drive blvd lane ln hwy highway po box apt unit floor fl suite ste near opp opposite behind dist district null no door room flat plot bldg building "
+        "main cross 1st 2nd 3rd 4th block sector phase"
+    ).split(),
     "base": "st street rd road ave avenue dr drive blvd lane ln hwy po box apt unit floor fl suite ste near opp opposite behind dist district null no".split(),
     "v1": "st street rd road ave avenue dr drive blvd lane ln hwy highway po box apt unit floor fl suite ste near opp opposite behind dist district null no door room flat plot bldg building".split(),
     "serve": (
@@ -54,6 +64,7 @@ ABBREVIATIONS = {
     ),
 }
 DOMAIN_ENDS = "com org net in co info biz edu gov io ai tech me tv us de fr uk ca au eu".split()
+DOMAIN_ENDS_EARLY = "com org net in co info biz edu gov io ai tech me tv us de fr uk ca au co.in org.in net.in ac.in".split()
 ADDRESS_PREFIX = r"\b(?:door\s*no|building\s*no|flat\s*no|room\s*no|plot\s*no|house\s*no|h\.?no|kh\.?no|survey\s*no|pl\s*no|ward\s*no|unit\s*no|fl|floor|block|sector|no|flat|unit|suite|ste)\b\.?\s*[:#]?"
 ADDRESS_PREFIX_FRENCH = ADDRESS_PREFIX.replace("suite|ste)", "suite|ste|batiment|bat|etage|porte|numero|num|n°)")
 FORMER_NAME = r"(?:formerly|aka|a/k/a|fka|f/k/a|dba|d/b/a|trading\s*as|t/a|nom\s*commercial)[:\s]+(.*)"

@@ -20,6 +20,8 @@ SCRIPT_MORE = "same_script script_type_latin script_type_indic script_char_overl
 V2 = [*BASE, *NAME_MORE, *ADDRESS_MORE, *SCRIPT_MORE]
 #: The first set: 34 features.
 V1 = [*BASE, "name_token_containment", "num_blocks_matched"]
+#: The early set: 33 features.
+EARLY = [*BASE, "name_token_containment"]
 
 MISSING = -1.0
 
@@ -139,6 +141,32 @@ def features_v1(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, *V1)
 
 
+def early_cross_features() -> dict[str, Column]:
+    """Features of both similarities as the early set has them: by edit distance, and strong by words or edits."""
+    n, a, nw, aw = map(F.col, ("name_levenshtein_sim", "addr_levenshtein_sim", "name_token_jaccard", "addr_token_jaccard"))
+    return {
+        "name_addr_combined_sim": 0.55 * n + 0.45 * a,
+        "name_addr_harmonic_sim": 2.0 * n * a / (n + a + 1e-6),
+        "both_strong": _flag(((nw >= 0.5) | (n >= 0.70)) & ((aw >= 0.4) | (a >= 0.60))),
+        "name_strong_addr_weak": _flag(((nw >= 0.70) | (n >= 0.80)) & (aw < 0.20) & (a < 0.35)),
+        "addr_strong_name_weak": _flag(((aw >= 0.65) | (a >= 0.70)) & (nw < 0.25) & (n < 0.45)),
+    }
+
+
+def features_early(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``pairs``' columns and the 33 early features, over ``profile_early``."""
+    missing = (F.col("x.address") == "") | (F.col("y.address") == "")
+    own = {
+        "name_levenshtein_sim": T.edit_similarity("x.name", "y.name", 12, 0.5),
+        "addr_levenshtein_sim": F.when(missing, 0.0).otherwise(T.edit_similarity("x.address", "y.address", 15, 0.4)),
+        "country_match": _flag((F.col("x.country") == F.col("y.country")) & (F.col("x.country") != "UNKNOWN")),
+    }
+    cross = early_cross_features()
+    alike = {k: c for k, c in (name_features() | address_features() | own).items() if k in EARLY}
+    found = beside(pairs, profiles).select(*pairs.columns, *[c.cast("double").alias(k) for k, c in alike.items()])
+    return found.select("*", *[c.cast("double").alias(k) for k, c in cross.items()]).select(*pairs.columns, *EARLY)
+
+
 def downcast(features: DataFrame, names: list[str]) -> DataFrame:
     """Features as 32-bit floats, as they are stored."""
     return features.select(*[F.col(c).cast("float").alias(c) if c in names else F.col(c) for c in features.columns])

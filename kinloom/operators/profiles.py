@@ -1,6 +1,6 @@
 """Record profiles: every derived field of a record, computed once and before any join.
 
-``profile_v1`` has the fields that the first feature set needs, ``profile_v2`` those of the second one,
+``profile_early`` has the fields that the 33 early features need, ``profile_v1`` those of the first feature set, ``profile_v2`` those of the second one,
 with the ``train`` or ``serve`` word lists. Missing values are empty strings, never null. Names and
 addresses are folded first (v1 decomposes, so that a mark parts a word; v2 drops Latin accents);
 ``unicode=False`` is for tables known to be ASCII.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import text as X
 from kinloom.functions import tokens as T
+from kinloom.functions import vocab
 
 KEPT = ("entity_id", "source", "ord")
 
@@ -44,6 +45,29 @@ def profile_v1(records: DataFrame, unicode: bool = True) -> DataFrame:
     )
 
 
+def profile_early(records: DataFrame, unicode: bool = True) -> DataFrame:
+    """The early profile: own word lists, addresses compared with their prefixes, the first number as the building."""
+    df = _base(records)
+    bare = X.strip_domain(F.trim("business_name"), vocab.DOMAIN_ENDS_EARLY, slash=True)
+    street = X.strip_address_prefix("business_address")
+    df = df.withColumns({"plain": X.fold(bare, "nfkd") if unicode else bare, "whole": _folded("business_address", unicode, "nfkd"), "street": X.fold(street, "nfkd") if unicode else street})
+    df = df.withColumns({"name": X.norm_name("plain"), "address": X.norm_name("whole"), "street_words": T.words(X.norm_name("street"))})
+    df = df.withColumns({"name_words": T.structural("name", "early", 1), "address_words": T.words("address")})
+    df = df.withColumn("listed", F.concat(X.compound_numbers_early("business_address"), T.numbers("street_words")))
+    df = df.withColumns(
+        {
+            "compact": X.compact(F.lower("plain")),
+            "first": T.first_of("name_words", T.words("name")),
+            "name_grams": T.trigrams("name"),
+            "address_grams": T.trigrams("address"),
+            "numbers": F.array_distinct("listed"),
+            "building": T.first_of("listed"),
+            "localities": F.array_distinct(T.localities("street_words", "early", 2)),
+        }
+    )
+    return df.drop("plain", "whole", "street", "street_words", "listed")
+
+
 def profile_v2(records: DataFrame, words: str = "serve", unicode: bool = True) -> DataFrame:
     """The second profile: names, signatures, address parts, script, lengths and the sets that features compare."""
     df = _base(records)

@@ -309,6 +309,47 @@ def features_v1(spark, sf_dir):
     return Fe.features_v1(B.candidates(r), P.profile_v2(r)).select("s1", "target", *[F.round(c, 9).alias(c) for c in Fe.V1])
 
 
+_TRIGGER = f"strpos({NAME}, '.') = 0 AND strpos(lower({NAME}), 'www') = 0 AND strpos({NAME}, '/') = 0"
+_BARE = f"regexp_replace(regexp_replace(trim({NAME}), '^(?:https?://)?(?:www\\.)?', '', 'i'), '\\.(?:{'|'.join(vocab.DOMAIN_ENDS_EARLY).replace('.', chr(92) + '.')})(?:/.*)?$', '', 'i')"
+_EARLY_FRONT, _EARLY_BACK = [*vocab.PREFIXES["early"], *vocab.STOPWORDS["early"]], [*vocab.SUFFIXES["early"], *vocab.STOPWORDS["early"]]
+_EARLY_COMPOUNDS = rf"list_transform(regexp_extract_all(raw_address, '\b(\d+[/_-]\d+[a-zA-Z]?)\b', 1), lambda t: array_to_string(list_transform(regexp_split_to_array(t, '[/_-]'), lambda u: {D.number('u')}), '/'))"
+_PE = rf"""
+e0 AS (SELECT entity_id, {ADDRESS} AS raw_address, {D.country('country')} AS country, CASE WHEN {_TRIGGER} THEN {NAME} ELSE {_BARE} END AS bare FROM rec),
+e1 AS (SELECT *, {D.norm('bare')} AS name, {D.norm('raw_address')} AS address, {D.words(D.norm(f"regexp_replace(raw_address, {D.q(vocab.ADDRESS_PREFIX)}, ' ', 'gi')"))} AS sw FROM e0),
+e2 AS (SELECT *, {D.words('name')} AS all_words, {D.words('address')} AS aw, regexp_replace(lower(bare), '[^\p{{L}}\p{{N}}]', '', 'g') AS compact, list_concat(CASE WHEN regexp_matches(raw_address, '[/-]') THEN {_EARLY_COMPOUNDS} ELSE [] END, {D.numbers('sw')}) AS nums FROM e1),
+e3 AS (SELECT *, all_words[coalesce(list_min(list_filter(range(1, len(all_words) + 1), lambda i: NOT list_contains({D.listed(_EARLY_FRONT)}, all_words[i]))), len(all_words) + 1):] AS after FROM e2),
+e4 AS (SELECT *, coalesce(list_max(list_filter(range(1, len(after) + 1), lambda i: NOT list_contains({D.listed(_EARLY_BACK)}, after[i]))), 0) AS stop FROM e3),
+e5 AS (SELECT *, list_filter(after, lambda t, i: i <= stop) AS trimmed FROM e4),
+e6 AS (SELECT *, list_filter(trimmed, lambda t: NOT list_contains({D.listed([*_EARLY_FRONT, *_EARLY_BACK])}, t)) AS strict FROM e5),
+e7 AS (SELECT *, CASE WHEN len(strict) = 0 THEN trimmed ELSE strict END AS words FROM e6),
+p AS (SELECT *, coalesce(words[1], all_words[1], '') AS first, coalesce(nums[1], '') AS building, {D.trigrams('name')} AS ng, {D.trigrams('address')} AS ag,
+  list_filter(sw, lambda t: regexp_full_match(t, '\p{{L}}+') AND length(t) >= 2 AND NOT list_contains({D.listed([*vocab.GENERIC_ADDRESS['early'], *vocab.STOPWORDS['early']])}, t)) AS loc FROM e7)"""
+_EARLY_SQL = {k: v for k, v in FEATURE_SQL.items() if k in Fe.EARLY} | {
+    "addr_levenshtein_sim": f"CASE WHEN {_GONE} THEN 0.0 ELSE {D.edit('x.address', 'y.address', 15, 0.4)} END",
+    "country_match": "CASE WHEN x.country = y.country AND x.country <> 'UNKNOWN' THEN 1 ELSE 0 END",
+}
+_EARLY_CROSS = {
+    "name_addr_combined_sim": "0.55 * name_levenshtein_sim + 0.45 * addr_levenshtein_sim",
+    "name_addr_harmonic_sim": "2.0 * name_levenshtein_sim * addr_levenshtein_sim / (name_levenshtein_sim + addr_levenshtein_sim + 1e-6)",
+    "both_strong": "CASE WHEN (name_token_jaccard >= 0.5 OR name_levenshtein_sim >= 0.7) AND (addr_token_jaccard >= 0.4 OR addr_levenshtein_sim >= 0.6) THEN 1 ELSE 0 END",
+    "name_strong_addr_weak": "CASE WHEN (name_token_jaccard >= 0.7 OR name_levenshtein_sim >= 0.8) AND addr_token_jaccard < 0.2 AND addr_levenshtein_sim < 0.35 THEN 1 ELSE 0 END",
+    "addr_strong_name_weak": "CASE WHEN (addr_token_jaccard >= 0.65 OR addr_levenshtein_sim >= 0.7) AND name_token_jaccard < 0.25 AND name_levenshtein_sim < 0.45 THEN 1 ELSE 0 END",
+}
+
+
+@query(
+    "features_early",
+    f"WITH {LABELLED}, {_PE}, early AS (SELECT l.s1, l.target, "
+    + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _EARLY_SQL.items())
+    + " FROM l JOIN p x ON x.entity_id = l.s1 JOIN p y ON y.entity_id = l.target), crossed AS (SELECT *, "
+    + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _EARLY_CROSS.items())
+    + f" FROM early) SELECT s1, target, {', '.join(f'round({c}, 9) AS {c}' for c in Fe.EARLY)} FROM crossed",
+)
+def features_early(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return Fe.features_early(B.candidates(r).select("s1", "target"), P.profile_early(r)).select("s1", "target", *[F.round(c, 9).alias(c) for c in Fe.EARLY])
+
+
 _SOME = ["name_char_sim", "addr_char_sim", "name_levenshtein_sim", "addr_house_number_match"]
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.functions import text
-from kinloom.operators import blocking, decide, evaluate, explain, geo, model, profiles, review, search, validate
+from kinloom.operators import blocking, decide, evaluate, explain, features, geo, model, profiles, review, search, validate
 from kinloom.sources import readers, sinks
 
 
@@ -223,3 +223,26 @@ def test_curve_in_cells(spark, monkeypatch, cells, n, digits):
     size = positives * (n - positives)
     assert got.average_precision == pytest.approx(ap)
     assert got.roc_auc == pytest.approx(area / size if size else 0)
+
+
+def test_early_features(spark):
+    """Written pairs: a domain beside its name, compound numbers, prefixes, and two empty records."""
+    rows = [
+        ("S1-1", "S1", 1, "www.société.co.in/shop", "Flat 12, 010/2A Main Road Lyon", "fr"),
+        ("S2-1", "S2", 2, "Dr. Socie Te Ltd.", "10-2A Lyon", "FR "),
+        ("S1-2", "S1", 3, "", "", ""),
+        ("S2-2", "S2", 4, "", None, None),
+        ("S1-3", "S1", 5, "The Dr", "x", "US"),
+    ]
+    r = spark.createDataFrame(rows, "entity_id string, source string, ord long, business_name string, business_address string, country string")
+    p = {x.entity_id: x for x in profiles.profile_early(r).collect()}
+    assert p["S1-1"].name == "socie te" and p["S1-1"].compact == "societe"
+    assert p["S1-1"].numbers == ["10/2A", "12", "10"] and p["S1-1"].building == "10/2A" and p["S1-1"].localities == ["lyon"]
+    assert p["S2-1"].name_words == ["socie", "te"] and p["S2-1"].numbers == ["10/2A", "10"]
+    assert p["S1-3"].name_words == [] and p["S1-3"].first == "the"
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-2")], "s1 string, target string")
+    f = {x.s1: x for x in features.features_early(pairs, profiles.profile_early(r)).collect()}
+    assert len(features.EARLY) == 33 and set(features.EARLY) < set(f["S1-1"].asDict())
+    a, b = f["S1-1"], f["S1-2"]
+    assert (a.name_token_jaccard, a.addr_house_number_match, a.country_match, a.addr_locality_jaccard) == (1.0, 1.0, 1.0, 1.0)
+    assert (b.name_levenshtein_sim, b.addr_levenshtein_sim, b.country_match, b.addr_house_number_match, b.name_addr_combined_sim) == (1.0, 0.0, 0.0, -1.0, 0.55)
