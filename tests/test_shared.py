@@ -85,3 +85,14 @@ def test_pairs_of_copies_are_those_of_records(spark):
     plain = blocking.label(blocking.candidates(r, most=4), _truth(r)).select("s1", "target", "target_source", "target_ord", "n_blocks", "blocks", "label")
     assert _rows(got) == _rows(plain) != []
     assert pairs.agg(F.sum(F.col("n1") * F.col("n2"))).first()[0] == plain.count()
+
+
+def test_kinds_of_documents_rank_as_documents(spark):
+    """2,000 documents of five kinds: each kind is weighed once, and ties go by id as before."""
+    from kinloom.operators import search
+
+    docs = spark.createDataFrame([(f"d{i:04}", ["red anvil", "red red forge", "blue anvil works", "green", "anvil"][i % 5] + f" n{i:04}") for i in range(2000)], "doc_id string, text string")
+    asked = search.query_terms(spark.createDataFrame([("a", "red anvil"), ("b", "anvil works"), ("c", "none"), ("d", "re bl n0001")], "q string, text string"), "q", "text")
+    postings = search.index(docs, "doc_id", ["text"])
+    plain = search.top(search.bm25(postings, asked).withColumn("score", F.round("score", 9)), 7)
+    assert _rows(search.best(postings, asked, 7).select("query", "doc", "score", "rank")) == _rows(plain.select("query", "doc", "score", "rank")) != []
