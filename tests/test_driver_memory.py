@@ -23,7 +23,7 @@ def _plans(spark, monkeypatch, name):
     return seen
 
 
-@pytest.mark.parametrize("name", ["batch_resolve"])
+@pytest.mark.parametrize("name", ["batch_resolve", "batch_summary"])
 def test_no_table_is_broadcast_uncounted(spark, monkeypatch, name):
     """By the size of compressed files Spark would send the postings to the driver, hundreds of times as large there."""
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760", "10485760b", "10MB")
