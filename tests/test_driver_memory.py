@@ -1,9 +1,10 @@
-"""What the search queries send to the driver, and the words that they count once."""
+"""What the search queries send to the driver, and the words and copies that they count once."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinloom import catalog, store
-from kinloom.operators import copies, search
+from kinloom.operators import copies, decide, explain, features, profiles, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +24,7 @@ def _plans(spark, monkeypatch, name):
     return seen
 
 
-@pytest.mark.parametrize("name", ["batch_resolve", "batch_summary"])
+@pytest.mark.parametrize("name", ["batch_resolve", "batch_summary", "entity_search"])
 def test_no_table_is_broadcast_uncounted(spark, monkeypatch, name):
     """By the size of compressed files Spark would send the postings to the driver, hundreds of times as large there."""
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760", "10485760b", "10MB")
@@ -51,3 +52,17 @@ def test_many_terms_of_one_beginning(spark):
     per, _, _ = search._weighed(search.index(words, "doc", ["text"]), asked, True)
     plan = per._jdf.queryExecution().optimizedPlan().toString()
     assert "bucket" not in plan and per.count() == 0
+
+
+def test_evidence_of_copies_is_found_once_a_class(spark):
+    """``alike`` of classes, dealt to the members, beside each entity with as many copies as it has sources."""
+    rows = [(f"S{i % 3 + 1}-{i}", f"S{i % 3 + 1}", i, ["red anvil works", "blue forge", "green mill"][i // 3 % 3], ["12 mill road 40001", "", "7 oak st"][i % 7 % 3], "IN", f"t{i // 3 % 3}") for i in range(60)]
+    r = spark.createDataFrame(rows, "entity_id string, source string, ord long, business_name string, business_address string, country string, truth_key string")
+    found, of = copies.classes(r, "truth_key")
+    scored = features.features_v2(copies.candidates(found), profiles.profile_v2(found)).withColumn("score", features.linear_score())
+    pairs = decide.agreement_shipped(scored)
+    got = copies.each(explain.evidence(explain.alike(found.filter("n1 > 0"), pairs)), of)
+    linked = explain.linked(r.filter("source = 'S1'"), copies.members(pairs, of), r).withColumns({"raw_name": F.col("name"), "raw_address": F.col("address")})
+    columns = ["canonical_id", "overall", "name_similarity"]
+    every = sorted(map(tuple, explain.evidence(linked).select(columns).collect()))
+    assert sorted(map(tuple, got.select(columns).collect())) == every and len(every) == 20
