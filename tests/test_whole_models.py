@@ -10,7 +10,7 @@ from kinloom.operators import model
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["gbt_scores"])
+@pytest.mark.parametrize("name", ["gbt_scores", "feature_importance"])
 def test_all_trees_are_grown(spark, monkeypatch, name):
     """600 trees of depth 7 on all 46 features are asked for; two are grown here."""
     asked, train = [], model.train
